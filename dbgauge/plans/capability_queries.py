@@ -1,2 +1,158 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over capability flags and level negotiation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dbgauge.operators.capability import (
+    ANY_SOURCES,
+    DEEP_SAMPLERS,
+    LEVEL_REASONS,
+    PG_REASONS,
+    PROBE_FLAGS,
+    REQUIRED_SOURCES,
+    TASKS,
+    build_probes,
+    capabilities,
+    downgrade_reasons,
+    negotiate,
+    plan_tasks,
+)
+from dbgauge.plans.inputs import table
+
+ALL_SOURCES = [name for names in [*REQUIRED_SOURCES.values(), *ANY_SOURCES.values()] for name in names]
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as instances; which sources answered, or were tried at all, follows from the key."""
+    key = F.col("c_custkey")
+    tried = F.array(*[
+        F.when((key + number) % 11 != 0, F.struct(F.lit(name).alias("source"), ((key * 7 + number * 13) % 9 != 0).alias("ok")))
+        for number, name in enumerate(ALL_SOURCES)
+    ])
+    return table(spark, sf_dir, "customer").select(
+        key.alias("instance"),
+        F.when(key % 2 == 0, "mysql").otherwise("postgres").alias("engine"),
+        F.inline(F.array_compact(tried)),
+    )
+
+
+def capability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capabilities(_results(spark, sf_dir), ["instance", "engine"])
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_probes(capability_rollup(spark, sf_dir))
+
+
+def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with mostly true flags and their own policy."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("instance"),
+        F.when(key % 2 == 0, "mysql").otherwise("postgres").alias("engine"),
+        *[((key + number * 5) % 29 != 0).alias(flag) for number, flag in enumerate(PROBE_FLAGS)],
+        (key % 4).alias("preferred_level"),
+        F.floor(key / 4 % 4).alias("max_accepted_level"),
+        (key % 3 != 0).alias("expert_mode_enabled"),
+    )
+
+
+def negotiated_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negotiate(_probe_rows(spark, sf_dir))
+    return rows.select("instance", "selected_level", F.inline("evaluations")).select(
+        "instance", "selected_level", "level", "ok", F.array_join("reasons", "; ").alias("reasons")
+    )
+
+
+def downgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = downgrade_reasons(negotiate(_probe_rows(spark, sf_dir)))
+    return rows.select("instance", "selected_level", F.array_join("downgrade_reasons", " | ").alias("downgrade_reasons"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_tasks(negotiate(_probe_rows(spark, sf_dir))).select("instance", "level", "name", "source", "purpose")
+
+
+QUERIES = {
+    "capabilities": capability_rollup,
+    "build_probes": probes,
+    "negotiate": negotiated_levels,
+    "downgrade_reasons": downgrades,
+    "plan_tasks": tasks,
+}
+
+
+def _answered(name: str) -> str:
+    number = ALL_SOURCES.index(name)
+    return f"((c_custkey + {number}) % 11 <> 0 AND (c_custkey * 7 + {number} * 13) % 9 <> 0)"
+
+
+_FLAGS = {
+    **{flag: " AND ".join(map(_answered, names)) for flag, names in REQUIRED_SOURCES.items()},
+    **{flag: f"({' OR '.join(map(_answered, names))})" for flag, names in ANY_SOURCES.items()},
+}
+_CAPABILITIES = (
+    "SELECT c_custkey AS instance, CASE WHEN c_custkey % 2 = 0 THEN 'mysql' ELSE 'postgres' END AS engine, "
+    + ", ".join(f"{sql} AS {flag}" for flag, sql in _FLAGS.items())
+    + " FROM customer"
+)
+_EITHER = {
+    "has_mysql_status_access": ("mysql_status_access", "has_status_access"),
+    "has_mysql_variables_access": ("mysql_variables_access", "has_settings_access"),
+    "has_information_schema_access": ("information_schema_access", "has_storage_access"),
+    "has_replication_status_access": ("replication_status_access", "has_replication_status_access"),
+    "has_os_metrics_access": ("os_metrics_access", "os_metrics_access"),
+}
+_SHARED = ["can_enable_slow_log_hot_switch", "can_read_slow_log", "can_read_error_log"]
+
+
+def _probe_sql(flag: str) -> str:
+    if flag in _EITHER:
+        mysql, postgres = _EITHER[flag]
+        return f"CASE WHEN engine = 'mysql' THEN {mysql} ELSE {postgres} END AS {flag}"
+    return flag if flag in _SHARED else f"false AS {flag}"
+
+
+def _holds(flag: str) -> str:
+    """SQL truth of a flag of the probe rows."""
+    if flag == "expert_mode_enabled":
+        return "c_custkey % 3 <> 0"
+    if flag == "has_deep_sampler":
+        return "(" + " OR ".join(map(_holds, DEEP_SAMPLERS)) + ")"
+    return f"((c_custkey + {PROBE_FLAGS.index(flag)} * 5) % 29 <> 0)"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _reasons(level: int, postgres: bool) -> str:
+    own = [pair for lower in range(level + 1) for pair in LEVEL_REASONS[lower]]
+    worded = [(flag, PG_REASONS.get(text, text) if postgres else text) for flag, text in own]
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {_holds(flag)} THEN {_text(text)} END" for flag, text in worded) + ")"
+
+
+_LEVELS = (
+    "WITH l AS (SELECT *, least(c_custkey % 4, c_custkey // 4 % 4) AS target FROM customer), e AS ("
+    + " UNION ALL ".join(
+        f"SELECT c_custkey AS instance, {level} AS level_no, {_reasons(level, False)} AS reasons, {_reasons(level, True)} AS pg_reasons, "
+        f"{_holds('has_sys_schema_access')} AS sys_access FROM l WHERE target >= {level}"
+        for level in range(4)
+    )
+    + "), s AS (SELECT instance, coalesce(max(level_no) FILTER (WHERE reasons = ''), 0) AS selected, any_value(sys_access) AS sys_access FROM e GROUP BY 1)"
+)
+
+ORACLES = {
+    "capabilities": _CAPABILITIES,
+    "build_probes": f"WITH c AS ({_CAPABILITIES}) SELECT instance, engine, {', '.join(map(_probe_sql, PROBE_FLAGS))} FROM c",
+    "negotiate": _LEVELS + " SELECT instance, 'Level ' || selected AS selected_level, 'Level ' || level_no AS level, reasons = '' AS ok, reasons FROM e JOIN s USING (instance)",
+    "downgrade_reasons": _LEVELS + """
+SELECT instance, 'Level ' || any_value(selected) AS selected_level, coalesce(string_agg('[Level ' || level_no || '] ' ||
+  CASE WHEN instance % 2 = 0 THEN reasons ELSE pg_reasons END, ' | ' ORDER BY level_no DESC) FILTER (WHERE reasons <> ''), '') AS downgrade_reasons
+FROM e JOIN s USING (instance) GROUP BY instance""",
+    "plan_tasks": _LEVELS + ", t(level_no, name, source, purpose) AS (VALUES "
+    + ", ".join(f"({level}, {_text(name)}, {_text(source)}, {_text(purpose)})" for level, name, source, purpose in TASKS)
+    + ") SELECT instance, 'Level ' || level_no AS level, name, source, purpose FROM s JOIN t ON level_no <= selected WHERE name <> 'sys_schema_helpers' OR sys_access",
+}

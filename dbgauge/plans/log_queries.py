@@ -258,7 +258,7 @@ WITH e AS (
       WHEN event_id % 6 = 1 THEN 'InnoDB: Starting CRASH recovery from checkpoint'
       WHEN event_id % 6 = 2 THEN 'InnoDB: purge lag increased'
       WHEN event_id % 6 = 3 THEN 'replica SQL thread waits for purge'
-      WHEN event_id % 6 = 4 THEN 'redo done pos 0/1F'
+      WHEN event_id % 6 = 4 THEN 'redo done at 0/1F'
       ELSE 'query timeout' END AS line
   FROM events
 ), c AS (
