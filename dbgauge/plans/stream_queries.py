@@ -1,2 +1,120 @@
-QUERIES = {}
-ORACLES = {}
+"""Streaming queries: tables are landed as log files and read as a stream until all is processed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dbgauge.plans.inputs import error_text, pg_texts, slow_records, table
+from dbgauge.session import scratch_path
+from dbgauge.streaming.jobs import (
+    ingest_logs,
+    pg_entry_stream,
+    read_line_stream,
+    read_record_stream,
+    stream_alerts,
+    stream_digests,
+    write_windows,
+)
+
+# Events per landed statement-log file.
+FILE_EVENTS = 5_000
+
+
+def _land_records(events: DataFrame, path: str) -> None:
+    slow_records(events).select(F.concat(F.lit("# Time:"), F.col("record")).alias("value")).write.mode("append").text(path)
+
+
+def _start() -> list:
+    return [F.unix_seconds(F.col("window.start")).alias("window_start"), F.unix_seconds(F.col("window.end")).alias("window_end")]
+
+
+def digests_by_hour(spark: SparkSession, sf_dir: str, slide: str | None = None) -> DataFrame:
+    base = scratch_path(spark, "stream-digests")
+    _land_records(table(spark, sf_dir, "events"), f"{base}/in")
+    frame = stream_digests(read_record_stream(spark, f"{base}/in"), "1 hour", "30 minutes", slide)
+    write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        *_start(), "fingerprint", "sample_sql", "count", "total_query_time_secs", "total_rows_sent", "total_rows_examined"
+    )
+
+
+def digests_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests_by_hour(spark, sf_dir, "30 minutes").select("window_start", "fingerprint", "count", "total_query_time_secs")
+
+
+def alerts_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "stream-alerts")
+    table(spark, sf_dir, "events").select(error_text().alias("value")).write.text(f"{base}/in")
+    frame = stream_alerts(read_line_stream(spark, f"{base}/in"), "1 day", "1 hour")
+    write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*_start(), "category", "count", "sample_line")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two landings, two runs over one checkpoint: each file must be read exactly once."""
+    base = scratch_path(spark, "ingest")
+    events = table(spark, sf_dir, "events")
+    early = F.col("event_type").isin("click", "view")
+    for landing in (events.filter(early), events.filter(~early)):
+        _land_records(landing, f"{base}/in")
+        ingest_logs(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    entries = spark.read.parquet(f"{base}/out")
+    return entries.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("entries"), F.sum("rows_examined").alias("rows_examined")
+    )
+
+
+def pg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "stream-pg")
+    lines = table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / FILE_EVENTS).alias("chunk"), "event_id", F.posexplode(pg_texts()).alias("at", "value")
+    )
+    # One file per chunk, its lines in order; the number of chunks grows with the table.
+    ordered = lines.repartition("chunk").sortWithinPartitions("chunk", "event_id", "at")
+    ordered.select("chunk", "value").write.partitionBy("chunk").text(f"{base}/in")
+    entries = pg_entry_stream(spark, f"{base}/in/*")
+    sink = entries.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sql", "query_time_secs")
+
+
+QUERIES = {
+    "stream_digests": digests_by_hour,
+    "stream_digests_sliding": digests_sliding,
+    "stream_alerts": alerts_by_day,
+    "ingest_logs": ingested,
+    "stream_pg_entries": pg_entries,
+}
+
+_SHAPE = "'select * from ' || event_type || ' where user_id = ? and name = ?;'"
+_SQL = "'SELECT * FROM ' || event_type || ' WHERE user_id = ' || user_id || chr(10) || 'AND name = ''u' || user_id || ''';'"
+_TOTAL = "CAST(sum(CAST(value AS DECIMAL(20,9))) AS DOUBLE) AS total_query_time_secs"
+_HOUR = "CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT)"
+_HALF = "CAST(epoch(time_bucket(INTERVAL 30 MINUTE, ts)) AS BIGINT)"
+
+ORACLES = {
+    "stream_digests": f"""
+SELECT {_HOUR} AS window_start, {_HOUR} + 3600 AS window_end, {_SHAPE} AS fingerprint, arg_min({_SQL}, (ts, {_SQL})) AS sample_sql, count(*) AS count,
+  {_TOTAL}, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_rows_sent, CAST(sum(user_id) AS BIGINT) AS total_rows_examined
+FROM events GROUP BY ALL""",
+    "stream_digests_sliding": f"""
+SELECT {_HALF} - shift AS window_start, {_SHAPE} AS fingerprint, count(*) AS count, {_TOTAL}
+FROM events, (VALUES (0), (1800)) v(shift) GROUP BY ALL""",
+    "stream_alerts": """
+WITH e AS (
+  SELECT ts, event_id % 6 AS kind, replace(CAST(ts AS VARCHAR), ' ', 'T') || 'Z ' || event_id || ' [Note] ' || CASE event_id % 6
+    WHEN 0 THEN 'InnoDB: Deadlock found when trying to get lock' WHEN 1 THEN 'InnoDB: Starting CRASH recovery from checkpoint'
+    WHEN 2 THEN 'InnoDB: purge lag increased' WHEN 3 THEN 'replica SQL thread waits for purge' WHEN 4 THEN 'redo done at 0/1F' END AS line
+  FROM events WHERE event_type = 'error'
+)
+SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) + 86400 AS window_end,
+  category, count(*) AS count, arg_min(line, (ts, line)) AS sample_line
+FROM e JOIN (VALUES (0, 'deadlock'), (1, 'crash_recovery'), (2, 'purge'), (3, 'purge'), (3, 'replication'), (4, 'crash_recovery')) k(kind, category) USING (kind)
+GROUP BY ALL""",
+    "ingest_logs": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS entries, CAST(sum(user_id) AS BIGINT) AS rows_examined FROM events GROUP BY 1",
+    "stream_pg_entries": """
+SELECT 'SELECT * FROM ' || event_type || ' WHERE id = ' || event_id || ';' AS sql,
+  CASE event_id % 4 WHEN 0 THEN value WHEN 2 THEN value / 1000000 ELSE value / 1000 END AS query_time_secs
+FROM events WHERE event_id % 2 = 0 OR event_id % 7 <> 0""",
+}
