@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-# Unicode white space without the (?U) flag, which would also widen (?i) beyond ASCII.
-WS = r"\p{IsWhite_Space}"
-NON_WS = r"\P{IsWhite_Space}"
-# The lookbehind starts the trailing match only at the head of a run, so that a long run inside
-# the text is scanned once and not once per character.
-_EDGES = rf"\A{WS}++|(?<!{WS}){WS}++\z"
+# Unicode white space as a plain character class; the (?U) flag would also widen (?i) beyond ASCII.
+_WS_RANGES = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WS = f"[{_WS_RANGES}]"
+NON_WS = f"[^{_WS_RANGES}]"
+# The characters with the Unicode property White_Space.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The output length kept, and the mark put behind a shortened output.
 OUTPUT_CHARS = 4000
@@ -24,8 +26,8 @@ TRUTHY = ["on", "1", "true", "yes"]
 
 
 def strip_ws(text: Column) -> Column:
-    """Remove Unicode white space at both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(text, _EDGES, "")
+    """Remove Unicode white space at both ends (``trim`` alone removes only spaces)."""
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def ascii_lower(text: Column) -> Column:

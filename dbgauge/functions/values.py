@@ -15,11 +15,12 @@ def text_or_empty(pairs: Column, name: str) -> Column:
 def _plain_double(value: Column) -> Column:
     """Shortest decimal text of a double without exponent and without a trailing ``.0``."""
     text = value.cast("string")
+    plain = F.regexp_replace(text, r"\.0\z", "")
     mantissa = F.regexp_extract(text, r"\A-?([0-9.]+)", 1)
     whole = F.substring_index(mantissa, ".", 1)
     fraction = F.when(mantissa.contains("."), F.regexp_replace(F.substring_index(mantissa, ".", -1), r"0+\z", "")).otherwise("")
     digits = F.concat(whole, fraction)
-    exponent = F.coalesce(F.regexp_extract(text, r"E(-?\d+)\z", 1).try_cast("int"), F.lit(0))
+    exponent = F.regexp_extract(text, r"E(-?\d+)\z", 1).cast("int")
     point = F.length(whole) + exponent
     size = F.length(digits)
     body = (
@@ -28,11 +29,11 @@ def _plain_double(value: Column) -> Column:
         .otherwise(F.concat_ws(".", F.left(digits, point), F.substr(digits, point + 1)))
     )
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise("")
+    # Only text with an exponent needs its digits moved.
     return (
-        F.when(F.isnan(value), F.lit("NaN"))
-        .when(text.isin("Infinity", "-Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
-        .when(value == 0, F.concat(sign, F.lit("0")))
-        .otherwise(F.concat(sign, body))
+        F.when(text.contains("E"), F.concat(sign, body))
+        .when(text.contains("Inf"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
+        .otherwise(plain)
     )
 
 

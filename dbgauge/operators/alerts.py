@@ -41,15 +41,16 @@ SAMPLES = 3
 
 
 def line_categories(lower: Column, rules: Mapping[str, Sequence[str]] = ALERT_RULES) -> Column:
-    """Array of all categories a lowercased line falls into."""
+    """Array with one place per category: its name where a lowercased line falls into it, else NULL."""
     hits = [F.when(reduce(or_, [lower.contains(phrase) for phrase in phrases]), F.lit(name)) for name, phrases in rules.items()]
-    return F.array_compact(F.array(*hits))
+    return F.array(*hits)
 
 
 def classify(lines: DataFrame, rules: Mapping[str, Sequence[str]] = ALERT_RULES) -> DataFrame:
     """One row per line and category; lines without a category are gone."""
     lowered = lines.withColumn("_lower", ascii_lower(F.col("line")))
-    return lowered.select(*lines.columns, F.explode(line_categories(F.col("_lower"), rules)).alias("category"))
+    labelled = lowered.select(*lines.columns, F.explode(line_categories(F.col("_lower"), rules)).alias("category"))
+    return labelled.filter(F.col("category").isNotNull())
 
 
 def alert_order() -> list[Column]:

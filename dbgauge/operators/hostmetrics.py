@@ -19,7 +19,7 @@ CPU_OPTIONAL = ["iowait", "irq", "softirq", "steal"]
 MEM_NEEDED = {"mem_total_kb": "MemTotal", "mem_available_kb": "MemAvailable"}
 MEM_OPTIONAL = {"swap_total_kb": "SwapTotal", "swap_free_kb": "SwapFree"}
 
-_BLANK = rf"[{WS}&&[^\n]]"
+_MEM_LINE = rf"\A[^:]*+:{WS}*+\+?(\d+)(?:{WS}|\z)"
 
 
 def _tokens(text: Column) -> Column:
@@ -33,34 +33,42 @@ def _all_present(columns: Sequence[Column]) -> Column:
     return present
 
 
-def cpu_stat(content: Column) -> Column:
-    """Counters of the first line if its first word is ``cpu``; the first four must be numbers."""
-    words = _tokens(F.substring_index(content, "\n", 1))
+def cpu_stat(words: Column) -> Column:
+    """Counters of the first line's words if the first is ``cpu``; the first four must be numbers."""
     needed = [parse_unsigned(F.get(words, F.lit(i))) for i in range(1, 5)]
     optional = [unsigned_or_zero(F.get(words, F.lit(i))) for i in range(5, 9)]
     named = [c.alias(n) for c, n in zip([*needed, *optional], [*CPU_NEEDED, *CPU_OPTIONAL])]
     return F.when((F.get(words, F.lit(0)) == "cpu") & _all_present(needed), F.struct(*named))
 
 
-def _mem_value(content: Column, key: str) -> Column:
-    """Number behind the last ``key:`` line that holds one."""
-    line = rf"(?dm)^{_BLANK}*+{key}{_BLANK}*+:{_BLANK}*+\+?(\d+)(?:{_BLANK}[^\n]*)?$"
-    numbers = F.regexp_extract_all(content, F.lit(line), F.lit(1))
-    valid = F.filter(F.transform(numbers, lambda n: n.try_cast("bigint")), lambda n: n.isNotNull())
-    return F.try_element_at(valid, F.lit(-1))
+def memory_values(content: Column) -> Column:
+    """Array of ``key, kb`` of all ``key: number`` lines."""
+    lines = F.split(content, "\n")
+    number = F.transform(
+        F.filter(lines, lambda line: line.rlike(_MEM_LINE)),
+        lambda line: F.struct(
+            strip_ws(F.substring_index(line, ":", 1)).alias("key"),
+            F.regexp_extract(line, _MEM_LINE, 1).try_cast("bigint").alias("kb"),
+        ),
+    )
+    return F.filter(number, lambda entry: entry["kb"].isNotNull())
+
+
+def _mem_value(values: Column, key: str) -> Column:
+    """Number behind the last line with this key."""
+    return F.try_element_at(F.filter(values, lambda entry: entry["key"] == key), F.lit(-1))["kb"]
 
 
-def mem_info(content: Column) -> Column:
+def mem_info(values: Column) -> Column:
     """Memory totals; total and available memory must be present, swap defaults to 0."""
-    needed = [_mem_value(content, key) for key in MEM_NEEDED.values()]
-    optional = [F.coalesce(_mem_value(content, key), F.lit(0).cast("bigint")) for key in MEM_OPTIONAL.values()]
+    needed = [_mem_value(values, key) for key in MEM_NEEDED.values()]
+    optional = [F.coalesce(_mem_value(values, key), F.lit(0).cast("bigint")) for key in MEM_OPTIONAL.values()]
     named = [c.alias(n) for c, n in zip([*needed, *optional], [*MEM_NEEDED, *MEM_OPTIONAL])]
     return F.when(_all_present(needed), F.struct(*named))
 
 
-def load_average(content: Column) -> Column:
+def load_average(words: Column) -> Column:
     """The five words of the load line; NULL if one is missing or not a number where one is due."""
-    words = _tokens(content)
     loads = [parse_double(F.get(words, F.lit(i))) for i in range(3)]
     pid = parse_unsigned(F.get(words, F.lit(4)))
     named = [c.alias(n) for c, n in zip(loads, ["one", "five", "fifteen"])]
@@ -73,11 +81,19 @@ def load_average(content: Column) -> Column:
 def parse_os_samples(samples: DataFrame, by: Sequence[str] = ("instance", "ts")) -> DataFrame:
     """``samples(<by>, path, content)`` to one row per sample time with three nullable structs."""
     path = F.col("path")
-    parsed = samples.filter(path.isin(CPU_PATH, MEM_PATH, LOAD_PATH)).select(
+    content = F.col("content")
+    split = samples.filter(path.isin(CPU_PATH, MEM_PATH, LOAD_PATH)).select(
+        *by,
+        "path",
+        F.when(path == CPU_PATH, _tokens(F.substring_index(content, "\n", 1))).when(path == LOAD_PATH, _tokens(content)).alias("_words"),
+        F.when(path == MEM_PATH, memory_values(content)).alias("_memory"),
+    )
+    words = F.col("_words")
+    parsed = split.select(
         *by,
-        F.when(path == CPU_PATH, cpu_stat(F.col("content"))).alias("proc_cpu"),
-        F.when(path == MEM_PATH, mem_info(F.col("content"))).alias("proc_mem"),
-        F.when(path == LOAD_PATH, load_average(F.col("content"))).alias("load_average"),
+        F.when(path == CPU_PATH, cpu_stat(words)).alias("proc_cpu"),
+        F.when(path == MEM_PATH, mem_info(F.col("_memory"))).alias("proc_mem"),
+        F.when(path == LOAD_PATH, load_average(words)).alias("load_average"),
     )
     return parsed.groupBy(*by).agg(*[F.max(name).alias(name) for name in ("proc_cpu", "proc_mem", "load_average")])
 

@@ -17,9 +17,8 @@ _BLANK = rf"[{WS}&&[^\n]]"
 _METRIC_MARK = "Query_time:"
 _SKIPPED_LINE = rf"(?dm)^(?:[^\n]*Query_time:[^\n]*|{_BLANK}*+(?:#|SET timestamp=)[^\n]*|{_BLANK}*+)(?:\n|\z)"
 _LINE_EDGES = rf"(?dm)^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$"
-# The greedy head makes this the last metric line of the record.
-_METRIC_LINE = rf"\A(?:[\s\S]*\n)?([^\n]*{_METRIC_MARK}[^\n]*)"
-
+# A line behind the header that belongs to the SQL; without one the record has no SQL.
+_SQL_LINE = rf"\n(?![^\n]*Query_time:|{_BLANK}*+(?:#|SET timestamp=|\n|\z))"
 _OLD_TIME = "yyMMdd H:mm:ss"
 _LINE_TIME = r"\A(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)"
 
@@ -28,6 +27,14 @@ def _metric(line: Column, name: str) -> Column:
     return F.regexp_extract(line, rf"{name}:{WS}*+({NON_WS}++)", 1)
 
 
+def _last_metric_line(body: Column) -> Column:
+    """The last line that holds the metric mark, '' without one."""
+    behind = F.substring_index(body, _METRIC_MARK, -1)
+    before = F.left(body, F.length(body) - F.length(behind) - len(_METRIC_MARK))
+    line = F.concat(F.substring_index(before, "\n", -1), F.lit(_METRIC_MARK), F.substring_index(behind, "\n", 1))
+    return F.when(body.contains(_METRIC_MARK), line).otherwise("")
+
+
 def _event_time(header: Column) -> Column:
     """ISO time, or the ``yymmdd h:mm:ss`` form of old servers; NULL where there is neither."""
     text = F.regexp_replace(strip_ws(header), " +", " ")
@@ -45,28 +52,29 @@ def parse_mysql_slow_log(records: DataFrame, record: str = "record") -> DataFram
     """
     kept = [name for name in records.columns if name != record]
     text = F.col(record)
-    text = F.when(text.startswith(RECORD_MARK), F.substr(text, F.lit(len(RECORD_MARK) + 1))).otherwise(text)
-    cut = records.select(
+    # Tested on the raw text: a filter on the parsed SQL would be pushed down and parse everything twice.
+    cut = records.filter(text.rlike(_SQL_LINE)).select(
         *kept,
-        F.substring_index(text, "\n", 1).alias("_header"),
-        F.when(text.contains("\n"), F.substr(text, F.instr(text, "\n") + 1)).otherwise("").alias("_body"),
+        F.regexp_extract(text, rf"\A(?:{RECORD_MARK})?([^\n]*)", 1).alias("_header"),
+        F.substr(text, F.instr(text, "\n") + 1).alias("_body"),
     )
     sql = F.regexp_replace(F.regexp_replace("_body", _SKIPPED_LINE, ""), _LINE_EDGES, "")
     parsed = cut.select(
         *kept,
         _event_time(F.col("_header")).alias("ts"),
         strip_ws(sql).alias("sql"),
-        F.regexp_extract("_body", _METRIC_LINE, 1).alias("_metrics"),
-    ).filter(F.col("sql") != "")
-    line = F.col("_metrics")
-    return parsed.select(
+        _last_metric_line(F.col("_body")).alias("_metrics"),
+    )
+    names = ["Query_time", "Lock_time", "Rows_sent", "Rows_examined"]
+    worded = parsed.select(*kept, "ts", "sql", *[_metric(F.col("_metrics"), name).alias(name) for name in names])
+    return worded.select(
         *kept,
         "ts",
         "sql",
-        F.coalesce(parse_double(_metric(line, "Query_time")), F.lit(0.0)).alias("query_time_secs"),
-        F.coalesce(parse_double(_metric(line, "Lock_time")), F.lit(0.0)).alias("lock_time_secs"),
-        unsigned_or_zero(_metric(line, "Rows_sent")).alias("rows_sent"),
-        unsigned_or_zero(_metric(line, "Rows_examined")).alias("rows_examined"),
+        F.coalesce(parse_double(F.col("Query_time")), F.lit(0.0)).alias("query_time_secs"),
+        F.coalesce(parse_double(F.col("Lock_time")), F.lit(0.0)).alias("lock_time_secs"),
+        unsigned_or_zero(F.col("Rows_sent")).alias("rows_sent"),
+        unsigned_or_zero(F.col("Rows_examined")).alias("rows_examined"),
     )
 
 

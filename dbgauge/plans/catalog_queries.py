@@ -15,7 +15,7 @@ from dbgauge.operators.status import (
     replication_status,
     row_to_pairs,
 )
-from dbgauge.plans.inputs import table
+from dbgauge.plans.inputs import spread, table
 
 BY_LIMIT = 20
 # The lineitem expression that stands for each counter.
@@ -176,7 +176,7 @@ def settings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     missing = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("o_orderpriority")
     price = F.when(F.col("o_orderkey") % 3 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice")).alias("o_totalprice")
     return row_to_pairs(orders.select("o_orderkey", "o_custkey", "o_orderstatus", price, "o_orderdate", missing), ["o_orderkey"])
@@ -201,7 +201,8 @@ def os_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(path).alias("path"), content.alias("content"))
         for path, content in (("/proc/stat", cpu), ("/proc/meminfo", mem), ("/proc/loadavg", load))
     ])
-    samples = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("instance"), key.alias("ts"), F.inline(contents))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    samples = orders.select(F.col("o_custkey").alias("instance"), key.alias("ts"), F.inline(contents))
     return parse_os_samples(samples).select(
         "instance",
         "ts",
@@ -221,7 +222,7 @@ def os_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def command_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as command output."""
     key = F.col("doc_id")
-    raw = table(spark, sf_dir, "documents").select(
+    raw = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         F.lit("vmstat").alias("command"),
         (key % 5 != 0).alias("found"),

@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Spread narrow rows over the cores where the scan has fewer tasks than there are cores.
+
+    Rendering text costs far more than reading the rows it comes from. Large tables have many splits
+    and are left as they are, without a shuffle.
+    """
+    context = frame.sparkSession.sparkContext
+    if frame.rdd.getNumPartitions() >= context.defaultParallelism:
+        return frame
+    return frame.repartition(context.defaultParallelism, *keys)
+
+
 def instance_of(user: str = "user_id") -> Column:
     """Ten instances; which one a row belongs to follows from its user."""
     return F.concat(F.lit("db-"), (F.col(user) % 10).cast("string"))
@@ -45,7 +57,7 @@ def slow_records(events: DataFrame) -> DataFrame:
         F.col("user_id").cast("string"),
         F.lit("';"),
     )
-    return events.select(
+    return spread(events, "event_id").select(
         instance_of().alias("instance"),
         instance_of().alias("source"),
         F.lit(0).cast("bigint").alias("block"),
@@ -78,7 +90,7 @@ def pg_texts() -> Column:
 
 
 def pg_lines(events: DataFrame) -> DataFrame:
-    lines = events.select("user_id", "event_id", F.posexplode(pg_texts()).alias("at", "line"))
+    lines = spread(events, "event_id").select("user_id", "event_id", F.posexplode(pg_texts()).alias("at", "line"))
     return lines_from_table(lines, F.col("user_id"), F.col("event_id") * 4 + F.col("at"), F.col("line"))
 
 
@@ -99,16 +111,16 @@ def error_text() -> Column:
 
 def error_lines(events: DataFrame) -> DataFrame:
     """All events as one error log."""
-    return lines_from_table(events.select("event_id", error_text().alias("line")), F.lit("error.log"), F.col("event_id"), F.col("line"))
+    return lines_from_table(spread(events, "event_id").select("event_id", error_text().alias("line")), F.lit("error.log"), F.col("event_id"), F.col("line"))
 
 
 def instance_error_lines(events: DataFrame) -> DataFrame:
-    lines = events.select("event_id", instance_of().alias("instance"), error_text().alias("line"))
+    lines = spread(events, "event_id").select("event_id", instance_of().alias("instance"), error_text().alias("line"))
     placed = lines_from_table(lines, F.col("instance"), F.col("event_id"), F.col("line"))
     return placed.withColumn("instance", F.col("source"))
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
     """Lines of each document, the document being the log file."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = spread(documents, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines_from_table(lines, F.col("doc_id"), F.col("at"), F.col("line"), block_rows=256)

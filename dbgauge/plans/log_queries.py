@@ -17,6 +17,7 @@ from dbgauge.plans.inputs import (
     instance_error_lines,
     pg_lines,
     slow_records,
+    spread,
     table,
 )
 from dbgauge.session import scratch_path
@@ -71,7 +72,7 @@ def pg_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:

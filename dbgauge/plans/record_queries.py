@@ -15,7 +15,7 @@ from dbgauge.operators.checks import (
 )
 from dbgauge.operators.contract import validate_records
 from dbgauge.operators.envelope import assemble_records, merge_warnings, source_status
-from dbgauge.plans.inputs import table
+from dbgauge.plans.inputs import spread, table
 from dbgauge.schemas import PAYLOAD, SCHEDULE
 from dbgauge.session import scratch_path
 from dbgauge.sources.records import read_records, typed_records, with_variant, write_records
@@ -179,8 +179,7 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(level1, "Level 1").otherwise("Level 0")
     duration = (key * 37) % 20_000
     payload = F.when(~failed, _payload(key, engine, level1))
-    # Two numbers per row are spread over the tasks before each grows into a record of some kilobytes.
-    narrow = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition("o_orderkey")
+    narrow = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
     rows = narrow.select("o_orderkey", "o_totalprice", payload.alias("payload"))
     return rows.select(
         F.concat(engine, F.lit("_"), key.cast("string"), F.when(level1, "_level1.json").otherwise("_level0.json")).alias("file"),

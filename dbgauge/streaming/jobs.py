@@ -97,7 +97,7 @@ def stream_alerts(
     timed = lines.withColumn("line", text).withColumn("ts", log_line_time(F.col("line"))).filter(F.col("ts").isNotNull())
     labelled = timed.withColumn("_lower", ascii_lower(F.col("line"))).withColumn(
         "category", F.explode(line_categories(F.col("_lower"), rules))
-    )
+    ).filter(F.col("category").isNotNull())
     return (
         labelled.withWatermark("ts", watermark)
         .groupBy(_window("fixed", window, slide).alias("window"), *by, "category")
