@@ -39,6 +39,7 @@ def _plain_double(value: Column) -> Column:
 
 def _interval_text(value: Column) -> Column:
     """A day-time interval as ``[-]D HH:MM:SS.ffffff``."""
+    value = value.cast("interval day to second")
     micros = F.abs(
         F.extract(F.lit("DAY"), value).cast("bigint") * 86_400_000_000
         + F.extract(F.lit("HOUR"), value).cast("bigint") * 3_600_000_000
