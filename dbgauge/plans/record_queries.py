@@ -342,15 +342,14 @@ def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_records(order_records(spark, sf_dir).drop("file", "file_size"), path)
     landed = read_records(spark, path, multiline=False)
     null_error = F.is_variant_null(F.try_variant_get("record", "$.error", "variant"))
-    nulls = landed.select(F.try_variant_get("record", "$.engine", "string").alias("engine"), null_error.alias("null_error"))
-    kept = nulls.groupBy("engine").agg(F.count_if("null_error").alias("null_errors"))
-    typed = typed_records(landed).groupBy("engine").agg(
+    flagged = landed.withColumn("null_error", null_error)
+    return typed_records(flagged, keep=["null_error"]).groupBy("engine").agg(
         F.count("*").alias("records"),
         F.sum("window.duration_ms").alias("duration_ms"),
         F.count_if(F.col("payload.level1").isNotNull()).alias("level1_records"),
         F.sum(F.size("source_status")).alias("sources"),
+        F.count_if("null_error").alias("null_errors"),
     )
-    return typed.join(kept, "engine")
 
 
 QUERIES = {

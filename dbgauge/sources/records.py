@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ def with_variant(records: DataFrame, text: str = "text") -> DataFrame:
     return records.withColumn("record", F.try_parse_json(F.col(text)))
 
 
-def typed_records(records: DataFrame, text: str = "text") -> DataFrame:
-    """File columns and the record's fields as typed columns; only the fields used later are parsed."""
-    kept = [name for name in FILE_COLUMNS if name in records.columns]
+def typed_records(records: DataFrame, text: str = "text", keep: Sequence[str] = FILE_COLUMNS) -> DataFrame:
+    """Kept columns and the record's fields as typed columns; only the fields used later are parsed."""
+    kept = [name for name in keep if name in records.columns]
     return records.select(*kept, F.from_json(F.col(text), RECORD).alias("_r")).select(*kept, "_r.*")
 
 
