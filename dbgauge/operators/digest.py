@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dbgauge.functions.sqltext import fingerprint
@@ -79,10 +79,9 @@ def digest(entries: DataFrame, by: Sequence[str] = (), position: Sequence[str] =
 def rank_digests(digests: DataFrame, by: Sequence[str] = (), top_n: int | None = None) -> DataFrame:
     """Order digests by total time (whole microseconds), count, fingerprint.
 
-    With ``by`` or ``top_n`` a ``rank`` column is added; without either the result is sorted as a whole.
+    With ``top_n`` the first of each group, with their ``rank``. Without it all digests, sorted by group
+    and order: a range-partitioned sort, which splits a group of any size over many tasks.
     """
     if top_n is not None:
-        return top_per_group(digests, by, digest_order(), top_n)
-    if by:
-        return digests.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*digest_order())))
-    return digests.orderBy(*digest_order())
+        return top_per_group(digests, by, digest_order(), top_n, spread_on=["fingerprint"] if by else ())
+    return digests.orderBy(*by, *digest_order())

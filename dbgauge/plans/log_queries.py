@@ -40,8 +40,7 @@ def slow_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slow_digest_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["instance"]
-    ranked = rank_digests(digest(_entries(spark, sf_dir), by, position=["mid"]), by)
-    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
+    return rank_digests(digest(_entries(spark, sf_dir), by, position=["mid"]), by)
 
 
 def slow_digest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +283,7 @@ def _doc_alert(name: str, phrases: list[str]) -> str:
 
 ORACLES = {
     "slow_digest": f"SELECT {_SHAPE} AS fingerprint, arg_min({_SQL}, event_id) AS sample_sql, {_DIGEST_SUMS} FROM events GROUP BY 1",
-    "slow_digest_by": _BY_INSTANCE + " SELECT * FROM r",
+    "slow_digest_by": _BY_INSTANCE + " SELECT * FROM d",
     "slow_digest_top": _BY_INSTANCE + " SELECT instance, rank, fingerprint, count, total_query_time_secs FROM r WHERE rank <= 2",
     "slow_record_scan": f"SELECT * EXCLUDE (avg_query_time_secs) FROM (SELECT {_SHAPE} AS fingerprint, {_DIGEST_SUMS} FROM events GROUP BY 1)",
     "pg_pairing": _PG_ROWS + " SELECT CAST(user_id AS VARCHAR) AS source, event_id, sql, secs AS query_time_secs, CAST(0 AS BIGINT) AS rows_sent FROM p",
