@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dbgauge.operators.digest import digest_columns, digest_order
-from dbgauge.operators.ranking import top_per_group
+from dbgauge.operators.ranking import SPREAD
 
 DIGEST_FIELDS = [
     "fingerprint",
@@ -38,22 +38,35 @@ def slow_log_snapshot(
     """
     keys = list(by)
     read = segment.groupBy(*keys).agg(F.sum("bytes").alias("collected_bytes"))
-    totals = digests.groupBy(*keys).agg(F.sum("count").alias("parsed_entries"), F.count("*").alias("digest_count"))
-    top = top_per_group(digests.select(*digest_columns(keys)), keys, digest_order(), nested, spread_on=["fingerprint"])
-    lists = top.groupBy(*keys).agg(_nested(DIGEST_FIELDS).alias("digests"))
+    # Digests are ranked and totalled in salted parts first; the parts' first rows carry their totals on.
+    part = F.pmod(F.xxhash64("fingerprint"), F.lit(SPREAD))
+    in_part = Window.partitionBy(*keys, "_part")
+    first = (
+        digests.select(*digest_columns(keys), part.alias("_part"))
+        .withColumn("_rank", F.row_number().over(in_part.orderBy(*digest_order())))
+        .withColumn("_entries", F.sum("count").over(in_part))
+        .withColumn("_digests", F.count("*").over(in_part))
+        .filter(F.col("_rank") <= nested)
+    )
+    whole = Window.partitionBy(*keys)
+    ranked = (
+        first.withColumn("rank", F.row_number().over(whole.orderBy(*digest_order())))
+        .withColumn("parsed_entries", F.sum(F.when(F.col("_rank") == 1, F.col("_entries"))).over(whole))
+        .withColumn("digest_count", F.sum(F.when(F.col("_rank") == 1, F.col("_digests"))).over(whole))
+        .filter(F.col("rank") <= nested)
+    )
+    lists = ranked.groupBy(*keys).agg(
+        F.max("parsed_entries").alias("parsed_entries"), F.max("digest_count").alias("digest_count"), _nested(DIGEST_FIELDS).alias("digests")
+    )
     none = F.array().cast("array<struct<fingerprint:string,sample_sql:string,count:bigint,total_query_time_secs:double,"
-                           "avg_query_time_secs:double,total_lock_time_secs:double,total_rows_sent:bigint,"
-                           "total_rows_examined:bigint>>")
-    return (
-        read.join(totals, keys, "left")
-        .join(lists, keys, "left")
-        .select(
-            *keys,
-            "collected_bytes",
-            F.coalesce("parsed_entries", F.lit(0)).alias("parsed_entries"),
-            F.coalesce("digest_count", F.lit(0)).alias("digest_count"),
-            F.coalesce("digests", none).alias("digests"),
-        )
+                          "avg_query_time_secs:double,total_lock_time_secs:double,total_rows_sent:bigint,"
+                          "total_rows_examined:bigint>>")
+    return read.join(lists, keys, "left").select(
+        *keys,
+        "collected_bytes",
+        F.coalesce("parsed_entries", F.lit(0)).alias("parsed_entries"),
+        F.coalesce("digest_count", F.lit(0)).alias("digest_count"),
+        F.coalesce("digests", none).alias("digests"),
     )
 
 

@@ -12,6 +12,7 @@ from dbgauge.operators.capability import Policy, PROBE_FLAGS, capabilities, down
 from dbgauge.operators.catalog import table_sizes_mysql, table_sizes_pg
 from dbgauge.operators.hostmetrics import command_samples, parse_os_samples
 from dbgauge.operators.segments import appended_since, tail_lines
+from dbgauge.operators.snapshots import slow_log_snapshot
 from dbgauge.operators.status import PG_COUNTERS, pairs_to_map, pg_replication_status, pg_status_rollup, replication_status
 from dbgauge.sources.files import latest_files, list_files
 from dbgauge.sources.logs import lines_from_table, read_log_lines
@@ -178,3 +179,35 @@ def test_tail_blockwise(spark, max_lines, max_bytes):
             size = len(text.encode())
             kept = [line.strip() for at, line in offsets(text) if max_bytes is None or at >= max(size - max_bytes, 0)]
             assert got[s] == [line for line in kept if line][-max_lines:]
+
+
+def test_slow_log_snapshot_counts_beyond_the_nested(spark):
+    """One instance holds nearly all digests; the nested list is cut, the counters are not."""
+    frame = spark.range(500).select(
+        F.when(F.col("id") < 490, "hot").otherwise("cold").alias("instance"),
+        F.concat(F.lit("f"), F.format_string("%03d", "id")).alias("fingerprint"),
+        F.lit("s").alias("sample_sql"),
+        F.lit(2).cast("bigint").alias("count"),
+        (F.col("id") % 50).cast("double").alias("total_query_time_secs"),
+        F.lit(0.0).alias("total_lock_time_secs"),
+        F.lit(0).cast("bigint").alias("total_rows_sent"),
+        F.lit(0).cast("bigint").alias("total_rows_examined"),
+    )
+    segment = spark.createDataFrame([("hot", 5), ("hot", 6), ("cold", 1), ("idle", 3)], "instance string, bytes bigint")
+    got = {r["instance"]: r for r in rows(slow_log_snapshot(segment, frame, ["instance"], nested=12))}
+    hot = got["hot"]
+    assert (hot["collected_bytes"], hot["parsed_entries"], hot["digest_count"]) == (11, 980, 490)
+    want = sorted(((-(i % 50), f"f{i:03d}") for i in range(490)))[:12]
+    assert [d["fingerprint"] for d in hot["digests"]] == [name for _, name in want]
+    assert got["cold"]["digest_count"] == 10 and got["idle"]["digests"] == [] and got["idle"]["parsed_entries"] == 0
+
+
+def test_top_n_plans_cut_before_the_shuffle(spark):
+    tables = spark.range(1000).selectExpr("concat('i', id % 3) AS instance", "'app' AS table_schema", "cast(id AS string) AS table_name",
+                                          "'E' AS engine", "'1' AS table_rows", "cast(id AS string) AS data_length", "'0' AS index_length")
+    whole = table_sizes_mysql(tables, 5)
+    assert "TakeOrderedAndProject" in whole._jdf.queryExecution().executedPlan().toString()
+    assert [r.total_length for r in whole.orderBy("rank").collect()] == [999, 998, 997, 996, 995]
+    fleet = table_sizes_mysql(tables, 2, ["instance"])
+    assert fleet._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    assert sorted((r.instance, r.total_length) for r in fleet.collect()) == [("i0", 996), ("i0", 999), ("i1", 994), ("i1", 997), ("i2", 995), ("i2", 998)]
