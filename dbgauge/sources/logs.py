@@ -46,10 +46,13 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def lines_from_table(
     rows: DataFrame, source: Column, position: Column, line: Column, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Rows of a table as log lines; ``position`` orders them and is unique within ``source``."""
+    """Rows of a table as log lines; ``position`` orders them and is unique within ``source``.
+
+    A block is named by its first position and holds at most ``block_rows`` lines.
+    """
     return rows.select(
         source.cast("string").alias("source"),
-        F.floor(position / block_rows).cast("bigint").alias("block"),
+        (position - F.pmod(position, F.lit(block_rows))).cast("bigint").alias("block"),
         position.cast("bigint").alias("mid"),
         line.alias("line"),
         (F.octet_length(line) + 1).cast("bigint").alias("bytes"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dbgauge.schemas import RECORD
+from dbgauge.schemas import RECORD, SUMMARY
 
 FILE_COLUMNS = ["file", "file_size"]
 
@@ -36,6 +36,11 @@ def typed_records(records: DataFrame, text: str = "text", keep: Sequence[str] =
     return records.select(*kept, F.from_json(F.col(text), RECORD).alias("_r")).select(*kept, "_r.*")
 
 
+def read_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Expected record summaries: JSON files that hold an array of summaries, or one summary per line."""
+    return spark.read.schema(SUMMARY).option("multiLine", "true").json(path)
+
+
 def write_records(records: DataFrame, path: str, pretty: bool = False, mode: str = "error") -> None:
     """Write records as JSON, nulls included; ``pretty`` indents (records then span lines)."""
     options = {"ignoreNullFields": "false"}

@@ -136,15 +136,19 @@ def pg_entry_stream(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _utc_day(name: str) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(name) / 86_400).cast("int"))
+
+
 def ingest_logs(
     spark: SparkSession, in_dir: str, out: str, checkpoint: str, once: bool = True, interval: str = "60 seconds"
 ) -> StreamingQuery:
-    """Parse every newly landed slow-log file once and append its entries to Parquet, by day.
+    """Parse every newly landed slow-log file once and append its entries to Parquet, by UTC day.
 
     The checkpoint remembers what was read, so a restart goes on where the last run ended. ``once``
     reads what is there and ends; otherwise the query looks for new files every ``interval``.
     """
-    entries = parse_mysql_slow_log(read_record_stream(spark, in_dir)).withColumn("day", F.to_date("ts"))
+    entries = parse_mysql_slow_log(read_record_stream(spark, in_dir)).withColumn("day", _utc_day("ts"))
     writer = entries.writeStream.format("parquet").partitionBy("day").option("path", out).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": interval}
     return writer.outputMode("append").trigger(**trigger).start()

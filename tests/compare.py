@@ -60,6 +60,7 @@ def compare(spark, con, name, query, sql, sf_dir):
 def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--zone", default="UTC")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     from __spark_entry__ import oracle_sql, queries
@@ -67,6 +68,7 @@ def main():
     from dbgauge.session import build_session
 
     spark = build_session("compare", master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark.conf.set("spark.sql.session.timeZone", args.zone)
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = duck(sf_dir)

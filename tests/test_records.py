@@ -19,7 +19,7 @@ from dbgauge.operators.checks import (
 )
 from dbgauge.operators.contract import validate_records
 from dbgauge.operators.envelope import fold_attempts
-from dbgauge.sources.records import read_records, typed_records, write_records
+from dbgauge.sources.records import read_records, read_summaries, typed_records, write_records
 
 
 def command(name):
@@ -180,3 +180,26 @@ def test_attempts_stop_at_first_ok(spark):
     r, s = rows(fold_attempts(frame).orderBy("run_id"))
     assert [a["status"] for a in r["attempts"]] == ["failed", "ok"] and r["error"] == "timeout"
     assert len(s["attempts"]) == 2 and s["error"] == "y"
+
+
+def test_golden_summaries(spark, write, tmp_path):
+    """Record files against a golden array, as a release gate compares them."""
+
+    def summary(file, level1):
+        level = "Level 1" if level1 else "Level 0"
+        return {
+            "file": file, "contract_version": "v1", "engine": "mysql", "requested_level": level, "selected_level": level, "status": "ok",
+            "source_status": [{"source": "mysql.variables", "ok": True}, {"source": "os.basic_metrics", "ok": True}],
+            "level1": {"enabled": level1, "hot_switch_ok": level1, "slow_log_ok": level1, "error_log_ok": level1, "digest_count_ge_1": level1,
+                       "alert_categories": ["deadlock", "purge"] if level1 else []},
+        }
+
+    path = write(mysql_a_level0__json=json.dumps(record()), mysql_b_level1__json=json.dumps(record("mysql", True)))
+    golden = tmp_path / "golden.json"
+    actual = summarize_records(typed_records(read_records(spark, path)))
+    golden.write_text(json.dumps([summary("mysql_a_level0.json", False), summary("mysql_b_level1.json", True)], indent=2))
+    assert diff_summaries(actual, read_summaries(spark, str(golden))).count() == 0
+    golden = tmp_path / "other.json"
+    golden.write_text(json.dumps([summary("mysql_a_level0.json", False), summary("mysql_c_level1.json", True)], indent=2))
+    found = diff_summaries(actual, read_summaries(spark, str(golden))).collect()
+    assert sorted((r.difference, r.file) for r in found) == [("missing", "mysql_c_level1.json"), ("unexpected", "mysql_b_level1.json")]
