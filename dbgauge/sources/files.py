@@ -28,7 +28,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def latest_files(files: DataFrame, by: Sequence[str] = ("dir",)) -> DataFrame:
     """The newest file of each group; of equally new files the greatest path."""
     newest = F.max(F.struct("modification_time", "path")).alias("_newest")
-    return files.groupBy(*by).agg(newest).select(*by, F.col("_newest.path").alias("path"), F.col("_newest.modification_time").alias("modification_time"))
+    found = files.groupBy(*by).agg(newest)
+    return found.select(*by, F.col("_newest.path").alias("path"), F.col("_newest.modification_time").alias("modification_time"))
 
 
 # The settings that lead to log paths.
@@ -87,8 +88,9 @@ def resolve_log_paths(settings: DataFrame, files: DataFrame, overrides: DataFram
     )
     mysql = F.col("engine") == "mysql"
     exact = ~F.col("log_filename").contains("%") & F.col("_present")
-    statement_log = F.when(is_truthy(F.col("logging_collector")) & F.col("log_filename").isNotNull() & F.col("_dir").isNotNull(),
-                           F.when(exact, F.col("_wanted")).otherwise(F.col("_newest")))
+    located = F.col("data_directory").isNotNull() & F.col("log_directory").isNotNull() & F.col("log_filename").isNotNull()
+    landed = F.when(exact, F.col("_wanted")).otherwise(F.col("_newest"))
+    statement_log = F.when(is_truthy(F.col("logging_collector")) & located, landed)
     slow = _filled(F.coalesce("_slow", F.when(mysql, _filled(F.col("slow_query_log_file"))).otherwise(statement_log)))
     server_error = F.when(F.col("log_error") != NO_FILE, _filled(F.col("log_error")))
     error = _filled(F.coalesce("_error", F.when(mysql, server_error).otherwise(slow)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 
+from dbgauge.functions import is_truthy, parse_double, strip_ws, text_or_empty, unsigned_or_zero
 from dbgauge.functions.values import as_text
 from dbgauge.operators.capability import Policy, PROBE_FLAGS, capabilities, downgrade_reasons, negotiate, plan_tasks
 from dbgauge.operators.catalog import table_sizes_mysql, table_sizes_pg
@@ -14,7 +15,7 @@ from dbgauge.operators.hostmetrics import command_samples, parse_os_samples
 from dbgauge.operators.segments import appended_since, tail_lines
 from dbgauge.operators.snapshots import slow_log_snapshot
 from dbgauge.operators.status import PG_COUNTERS, pairs_to_map, pg_replication_status, pg_status_rollup, replication_status
-from dbgauge.sources.files import latest_files, list_files
+from dbgauge.sources.files import latest_files, list_files, resolve_log_paths
 from dbgauge.sources.logs import lines_from_table, read_log_lines
 
 
@@ -211,3 +212,35 @@ def test_top_n_plans_cut_before_the_shuffle(spark):
     fleet = table_sizes_mysql(tables, 2, ["instance"])
     assert fleet._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
     assert sorted((r.instance, r.total_length) for r in fleet.collect()) == [("i0", 996), ("i0", 999), ("i1", 994), ("i1", 997), ("i2", 995), ("i2", 998)]
+
+
+def test_small_expressions(spark):
+    words = spark.createDataFrame([(" ON\t",), ("1",), ("True",), ("yes ",), ("off",), ("2",), ("",)], "w string")
+    assert [r.t for r in words.select(is_truthy(F.col("w")).alias("t")).collect()] == [True] * 4 + [False] * 3
+    spaces = spark.createDataFrame([("   a​b 　\x85\r\n",), ("  ",)], "w string")
+    assert [r.t for r in spaces.select(strip_ws(F.col("w")).alias("t")).collect()] == ["a​b", ""]
+    numbers = spark.createDataFrame([("5",), ("+5",), ("-5",), ("5.0",), ("9223372036854775808",), ("NULL",), (None,)], "w string")
+    assert [r.t for r in numbers.select(unsigned_or_zero(F.col("w")).alias("t")).collect()] == [5, 5, 0, 0, 0, 0, 0]
+    doubles = spark.createDataFrame([("1.5",), (".5",), ("5.",), ("1e3",), ("1.5d",), (" 1",), (".",), ("-inf",)], "w string")
+    assert [r.t for r in doubles.select(parse_double(F.col("w")).alias("t")).collect()] == [1.5, 0.5, 5.0, 1000.0, None, None, None, float("-inf")]
+    pairs = spark.range(1).select(F.create_map(F.lit("a"), F.lit("x")).alias("m"))
+    assert tuple(pairs.select(text_or_empty(F.col("m"), "a"), text_or_empty(F.col("m"), "b")).first()) == ("x", "")
+
+
+def test_log_paths(spark):
+    base = {"logging_collector": "on", "data_directory": "/d", "log_directory": "log", "log_filename": "pg.log"}
+    settings = {"exact": base, "pattern": base | {"log_filename": "pg-%d.log"}, "gone": base | {"log_filename": "x.log"}, "off": base | {"logging_collector": "off"},
+                "nodir": {k: v for k, v in base.items() if k != "data_directory"} | {"log_directory": "/abs"}, "hidden": base}
+    rows_ = [(name, "postgres", key, value) for name, values in settings.items() for key, value in values.items()]
+    rows_ += [("my", "mysql", "slow_query_log_file", "/s.log"), ("my", "mysql", "log_error", "stderr")]
+    files = [(name, "/d/log", f"/d/log/{file}", at) for name in settings for file, at in (("pg.log", 1), ("new.log", 2))]
+    files += [("nodir", "/abs", "/abs/z.log", 1)]
+    found = resolve_log_paths(
+        spark.createDataFrame(rows_, "instance string, engine string, name string, value string"),
+        spark.createDataFrame(files, "instance string, dir string, path string, modification_time int"),
+        spark.createDataFrame([("hidden", "  ", None), ("off", None, "/e.log")], "instance string, slow_log_path string, error_log_path string"),
+    )
+    assert {r.instance: (r.slow_log_path, r.error_log_path) for r in found.collect()} == {
+        "exact": ("/d/log/pg.log", "/d/log/pg.log"), "pattern": ("/d/log/new.log", "/d/log/new.log"), "gone": ("/d/log/new.log", "/d/log/new.log"),
+        "off": (None, "/e.log"), "nodir": (None, None), "hidden": (None, None), "my": ("/s.log", None),
+    }
