@@ -135,7 +135,7 @@ WITH w AS (
   UNION ALL
   SELECT 'b', item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') FROM benchmark
 ), s AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) AS g
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS g
   FROM w WHERE len(ws) >= 5
 ), sized AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 'b' GROUP BY id),
 shared AS (

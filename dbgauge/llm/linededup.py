@@ -97,18 +97,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS at FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents
 ), hashed AS (
   SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines
 ), rolled AS (
-  SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY at), 0)) % 2 AS r FROM hashed
+  SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY pos), 0)) % 2 AS r FROM hashed
 ), marked AS (
-  SELECT *, CASE WHEN at = 0 OR (at >= 2 AND lag(r, 1) OVER w = 0 AND lag(r, 2) OVER w <> 0) THEN 1 ELSE 0 END AS b
-  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  SELECT *, CASE WHEN pos = 0 OR (pos >= 2 AND lag(r, 1) OVER w = 0 AND lag(r, 2) OVER w <> 0) THEN 1 ELSE 0 END AS b
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), numbered AS (
-  SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY at) AS chunk FROM marked
+  SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM marked
 ), chunks AS (
-  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY at) AS t, count(*) AS n,
+  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS t, count(*) AS n,
          sum(CASE WHEN trim(line) <> '' THEN 1 ELSE 0 END) >= 2 AS eligible
   FROM numbered GROUP BY 1, 2
 ), judged AS (

@@ -36,7 +36,8 @@ def test_edges(spark):
 def test_far_texts_are_rejected(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("learn", learn_fold())
     model = fit(documents, F.col("learn"))
-    strange = spark.createDataFrame([(1, "Привет, как дела сегодня вечером"), (2, "こんにちは世界"), (3, "xqzxq zzqx qqxz")], "doc_id int, text string")
+    texts = ["Привет, как дела сегодня вечером? " * 8, "こんにちは世界、今日はとてもいい天気ですね。" * 8, "xqzxq zzqx qqxz zqq xxz " * 12]
+    strange = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     assert all(r.lang_rejected for r in with_language(strange, model).collect())
     assert with_language(documents, model).where("lang_rejected").count() == 0
 
