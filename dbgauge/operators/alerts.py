@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dbgauge.functions.text import ascii_lower
+from dbgauge.operators.joins import join_groups
 from dbgauge.operators.ranking import top_per_group
 from dbgauge.schemas import POSITION
 
@@ -86,6 +87,6 @@ def alerts(
     keys = [*by, "category"]
     classified = classify(lines, rules)
     counts = classified.groupBy(*keys).agg(F.count("*").alias("count"))
-    return counts.join(alert_samples(classified, by, samples), keys).select(*keys, "count", "sample_lines").orderBy(
+    return join_groups(counts, alert_samples(classified, by, samples), keys).select(*keys, "count", "sample_lines").orderBy(
         *by, *alert_order()
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dbgauge.functions.numbers import unsigned_or_zero
+from dbgauge.operators.joins import join_groups
 from dbgauge.operators.ranking import top_per_group
 
 # Schemas of the server itself, and the row limits.
@@ -22,7 +24,8 @@ def _number(name: str) -> Column:
 
 
 def _unsigned(name: str) -> Column:
-    return F.greatest(_number(name), F.lit(0).cast("bigint"))
+    """Strict: signs other than ``+``, blanks and fractions are 0."""
+    return unsigned_or_zero(F.col(name).cast("string"))
 
 
 def _text(name: str) -> Column:
@@ -76,9 +79,9 @@ def table_sizes_pg(
     namespaces = _user_tables(pg_namespace, "nspname", PG_SYSTEM_SCHEMAS).select(
         *by, F.col("oid").alias("relnamespace"), F.col("nspname").alias("table_schema")
     )
+    ordinary = pg_class.filter((F.col("relkind") == "r") & F.col("relnamespace").isNotNull())
     sizes = (
-        pg_class.filter(F.col("relkind") == "r")
-        .join(namespaces, [*by, "relnamespace"])
+        join_groups(ordinary, namespaces, [*by, "relnamespace"])
         .select(
             *by,
             "table_schema",

@@ -41,11 +41,11 @@ def block_offsets(lines: DataFrame) -> DataFrame:
 
 
 def _from_offset(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines whose first byte is at or behind ``start`` (a column of ``blocks``)."""
+    """Lines that end behind ``start`` (a column of ``blocks``), with the ``offset`` of their first byte."""
     needed = blocks.filter(F.col("block_end") > F.col("start")).select(*_BLOCK, "block_start", "start")
     in_block = Window.partitionBy(*_BLOCK).orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.join(needed, _BLOCK).withColumn("_end", F.col("block_start") + F.sum("bytes").over(in_block))
-    return placed.withColumn("offset", F.col("_end") - F.col("bytes")).filter(F.col("offset") >= F.col("start"))
+    return placed.withColumn("offset", F.col("_end") - F.col("bytes")).filter(F.col("_end") > F.col("start"))
 
 
 def tail_lines(lines: DataFrame, max_lines: int, max_bytes: int | None = None) -> DataFrame:
@@ -60,7 +60,7 @@ def tail_lines(lines: DataFrame, max_lines: int, max_bytes: int | None = None) -
     else:
         blocks = blocks.withColumn("start", F.greatest(F.col("length") - max_bytes, F.lit(0).cast("bigint")))
         blocks = blocks.filter(F.col("lines_behind") < max_lines)
-        kept = _from_offset(lines, blocks)
+        kept = _from_offset(lines, blocks).filter(F.col("offset") >= F.col("start"))
     text = kept.select(*_BLOCK, "mid", strip_ws(F.col("line")).alias("line")).filter(F.col("line") != "")
     back = Window.partitionBy("source").orderBy(F.col("block").desc(), F.col("mid").desc())
     return text.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= max_lines)
@@ -77,9 +77,16 @@ def segment_start(length: Column, offset: Column, max_bytes: int) -> Column:
 def appended_since(lines: DataFrame, checkpoints: DataFrame, max_bytes: int) -> DataFrame:
     """Lines appended behind each source's checkpoint (columns ``source, offset``), with ``offset``.
 
+    A checkpoint within a line (the writer was not done with it) gives the rest of that line.
+
     The checkpoint meets the block table, not the lines, so a source with many lines is no hot key.
     """
     known = checkpoints.select("source", F.col("offset").cast("bigint").alias("_known"))
     blocks = block_offsets(lines).join(known, "source", "left")
     blocks = blocks.withColumn("start", segment_start(F.col("length"), F.col("_known"), max_bytes))
-    return _from_offset(lines, blocks).select(*_BLOCK, "mid", "line", "bytes", "offset")
+    cut = F.greatest(F.col("start") - F.col("offset"), F.lit(0)).cast("int")
+    rest = F.make_valid_utf8(F.substring(F.col("line").cast("binary"), cut + 1, F.octet_length("line")).cast("string"))
+    line = F.when(cut > 0, rest).otherwise(F.col("line"))
+    return _from_offset(lines, blocks).select(
+        *_BLOCK, "mid", line.alias("line"), (F.col("bytes") - cut).alias("bytes"), (F.col("offset") + cut).alias("offset")
+    )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dbgauge.operators.digest import digest_columns, digest_order
-from dbgauge.operators.ranking import SPREAD
+from dbgauge.operators.digest import digest_columns, rank_micros
+from dbgauge.operators.joins import join_groups
 
 DIGEST_FIELDS = [
     "fingerprint",
@@ -20,54 +20,34 @@ DIGEST_FIELDS = [
     "total_rows_sent",
     "total_rows_examined",
 ]
-# A snapshot row nests this many digests; ``digest_count`` counts all, and the digest table holds all.
-NESTED_DIGESTS = 1000
 
 
-def _nested(fields: Sequence[str]) -> Column:
-    ranked = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("item"))))
-    return F.transform(ranked, lambda entry: entry["item"])
+def slow_log_counters(segment: DataFrame, digests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per instance: collected_bytes, parsed_entries, digest_count.
 
+    ``segment(<by>, bytes)`` are the collected lines or records; an instance with none has no row. The digests
+    themselves stay a table, of any length; ``rank_digests`` orders it.
+    """
+    keys = list(by)
+    read = segment.groupBy(*keys).agg(F.sum("bytes").alias("collected_bytes"))
+    counted = digests.groupBy(*keys).agg(F.sum("count").alias("parsed_entries"), F.count("*").alias("digest_count"))
+    return join_groups(read, counted, keys, "left").withColumns({name: F.coalesce(name, F.lit(0)) for name in ("parsed_entries", "digest_count")})
 
-def slow_log_snapshot(
-    segment: DataFrame, digests: DataFrame, by: Sequence[str], nested: int = NESTED_DIGESTS
-) -> DataFrame:
-    """One row per instance: collected_bytes, parsed_entries, digest_count, digests.
 
-    ``segment(<by>, bytes)`` are the collected lines or records; an instance with none has no row.
+def slow_log_snapshot(segment: DataFrame, digests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The counters, and all ranked digests nested in one row, as the record of one collection holds them.
+
+    For the edge where records are made: a row is as long as its instance has digests.
     """
     keys = list(by)
-    read = segment.groupBy(*keys).agg(F.sum("bytes").alias("collected_bytes"))
-    # Digests are ranked and totalled in salted parts first; the parts' first rows carry their totals on.
-    part = F.pmod(F.xxhash64("fingerprint"), F.lit(SPREAD))
-    in_part = Window.partitionBy(*keys, "_part")
-    first = (
-        digests.select(*digest_columns(keys), part.alias("_part"))
-        .withColumn("_rank", F.row_number().over(in_part.orderBy(*digest_order())))
-        .withColumn("_entries", F.sum("count").over(in_part))
-        .withColumn("_digests", F.count("*").over(in_part))
-        .filter(F.col("_rank") <= nested)
-    )
-    whole = Window.partitionBy(*keys)
-    ranked = (
-        first.withColumn("rank", F.row_number().over(whole.orderBy(*digest_order())))
-        .withColumn("parsed_entries", F.sum(F.when(F.col("_rank") == 1, F.col("_entries"))).over(whole))
-        .withColumn("digest_count", F.sum(F.when(F.col("_rank") == 1, F.col("_digests"))).over(whole))
-        .filter(F.col("rank") <= nested)
-    )
-    lists = ranked.groupBy(*keys).agg(
-        F.max("parsed_entries").alias("parsed_entries"), F.max("digest_count").alias("digest_count"), _nested(DIGEST_FIELDS).alias("digests")
-    )
+    order = F.struct((-rank_micros(F.col("total_query_time_secs"))).alias("micros"), (-F.col("count")).alias("entries"), "fingerprint", F.struct(*DIGEST_FIELDS).alias("item"))
+    ranked = F.transform(F.array_sort(F.collect_list(order)), lambda entry: entry["item"])
+    lists = digests.select(*digest_columns(keys)).groupBy(*keys).agg(ranked.alias("digests"))
     none = F.array().cast("array<struct<fingerprint:string,sample_sql:string,count:bigint,total_query_time_secs:double,"
                           "avg_query_time_secs:double,total_lock_time_secs:double,total_rows_sent:bigint,"
                           "total_rows_examined:bigint>>")
-    return read.join(lists, keys, "left").select(
-        *keys,
-        "collected_bytes",
-        F.coalesce("parsed_entries", F.lit(0)).alias("parsed_entries"),
-        F.coalesce("digest_count", F.lit(0)).alias("digest_count"),
-        F.coalesce("digests", none).alias("digests"),
-    )
+    counters = slow_log_counters(segment, digests, keys)
+    return join_groups(counters, lists, keys, "left").withColumn("digests", F.coalesce("digests", none))
 
 
 def error_log_snapshot(lines: DataFrame, alert_rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -80,7 +60,7 @@ def error_log_snapshot(lines: DataFrame, alert_rows: DataFrame, by: Sequence[str
         F.transform(F.array_sort(F.collect_list(order)), lambda entry: entry["item"]).alias("alerts"),
     )
     none = F.array().cast("array<struct<category:string,count:bigint,sample_lines:array<string>>>")
-    return read.join(nested, keys, "left").select(
+    return join_groups(read, nested, keys, "left").select(
         *keys,
         "sampled_lines",
         F.coalesce("alert_count", F.lit(0)).alias("alert_count"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dbgauge.operators.joins import join_groups
+
 from dbgauge.functions.values import as_text
 
 # The database counters summed into the status snapshot.
@@ -68,7 +70,7 @@ def pg_replication_status(
     counted = clients.groupBy(*keys).agg(F.count("*").alias("_clients"))
     receiving = receivers.groupBy(*keys).agg(F.min("status").alias("_status"))
     if keys:
-        joined = flags.join(counted, keys, "left").join(receiving, keys, "left")
+        joined = join_groups(join_groups(flags, counted, keys, "left"), receiving, keys, "left")
     else:
         one = [side.withColumn("_one", F.lit(1)) for side in (flags, counted, receiving)]
         joined = one[0].join(one[1], "_one").join(one[2], "_one")

@@ -17,15 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """Spread narrow rows over the cores where the scan has fewer tasks than there are cores.
+    """Deal narrow rows over the shuffle partitions before text is rendered from them.
 
-    Rendering text costs far more than reading the rows it comes from. Large tables have many splits
-    and are left as they are, without a shuffle.
+    Rendering costs far more than the rows it starts from, and the tables have few splits. The plan is the same at every size.
     """
-    context = frame.sparkSession.sparkContext
-    if frame.rdd.getNumPartitions() >= context.defaultParallelism:
-        return frame
-    return frame.repartition(context.defaultParallelism, *keys)
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def instance_of(user: str = "user_id") -> Column:

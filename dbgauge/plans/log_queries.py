@@ -317,9 +317,11 @@ SELECT CAST(doc_id AS VARCHAR) AS source, back, line FROM (
   SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back
   FROM (SELECT doc_id, pos, {_STRIP.format('line')} AS line FROM o WHERE start >= total - {TAIL_BYTES}) WHERE line <> '') WHERE back <= {TAIL_LINES}""",
     "appended_since": _DOC_LINES + f""",
-k AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN total + 99 ELSE n_chars // 2 END AS known FROM o)
-SELECT CAST(doc_id AS VARCHAR) AS source, start AS "offset", line FROM k
-WHERE start >= CASE WHEN total < known OR total - known > {SEGMENT_BYTES} THEN greatest(total - {SEGMENT_BYTES}, 0) ELSE known END""",
+k AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN total + 99 ELSE n_chars // 2 END AS known FROM o), marked AS (SELECT *, CASE WHEN total < known OR total - known > {SEGMENT_BYTES} THEN greatest(total - {SEGMENT_BYTES}, 0) ELSE known END AS mark FROM k),
+c AS (SELECT *, greatest(mark - start, 0) AS cut FROM marked WHERE start + strlen(line) + 1 > mark),
+j AS (SELECT *, coalesce(list_min(list_filter(range(0, length(line) + 1), lambda n: strlen(left(line, n)) >= cut)), length(line)) AS skip FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS source, CAST(start + cut AS BIGINT) AS "offset",
+  CASE WHEN strlen(left(line, skip)) > cut THEN chr(65533) ELSE '' END || substr(line, skip + 1) AS line FROM j""",
     "latest_files": """
 SELECT dir, path FROM (
   SELECT *, row_number() OVER (PARTITION BY dir ORDER BY page_id % 3 DESC, path DESC) AS rn

@@ -10,8 +10,8 @@ from dbgauge.session import scratch_path
 from dbgauge.streaming.jobs import (
     ingest_logs,
     pg_entry_stream,
+    read_entry_stream,
     read_line_stream,
-    read_record_stream,
     stream_alerts,
     stream_digests,
     write_windows,
@@ -32,7 +32,8 @@ def _start() -> list:
 def digests_by_hour(spark: SparkSession, sf_dir: str, slide: str | None = None) -> DataFrame:
     base = scratch_path(spark, "stream-digests")
     _land_records(table(spark, sf_dir, "events"), f"{base}/in")
-    frame = stream_digests(read_record_stream(spark, f"{base}/in"), "1 hour", "30 minutes", slide)
+    ingest_logs(spark, f"{base}/in", f"{base}/entries", f"{base}/ingested").awaitTermination()
+    frame = stream_digests(read_entry_stream(spark, f"{base}/entries"), "1 hour", "30 minutes", slide)
     write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(
         *_start(), "fingerprint", "sample_sql", "count", "total_query_time_secs", "total_rows_sent", "total_rows_examined"

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the text that starts a slow-log record.
 RECORD_MARK = "# Time:"
-_HEADER_LIKE = r"\A(?:# Time:|[ \t]*\d)"
 
 BLOCK_ROWS = 65_536
 
@@ -59,37 +58,30 @@ def lines_from_table(
     )
 
 
-def is_record(block: Column, record: Column) -> Column:
-    """False for the text a file holds before its first record mark.
+def read_slow_log_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per ``# Time:`` record: source, block, mid, record.
 
-    Only the first block can hold such text. It is told from a record by its first characters: a
-    record starts with its time, the preamble with a server banner or the rest of a cut record.
+    The record mark is the row separator of the scan, so files split and no shuffle is needed to
+    bring the lines of a record together. What a file holds before its first mark is dropped.
     """
-    return (block > 0) | record.rlike(_HEADER_LIKE)
+    return drop_leading_text(record_rows(spark.read.option("lineSep", f"\n{RECORD_MARK}").text(path)).withColumn("mid", F.monotonically_increasing_id()))
 
 
-def read_slow_log_records(spark: SparkSession, path: str | list[str], preamble: str = "header") -> DataFrame:
-    """One row per ``# Time:`` record: source, block, mid, record.
+def record_rows(scan: DataFrame) -> DataFrame:
+    """``source, block, record`` of a record-delimited text scan, batch or stream."""
+    return scan.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.make_valid_utf8("value").alias("record"),
+    )
 
-    The record mark is the row separator of the scan, so files split and no shuffle is needed to
-    bring the lines of a record together. ``preamble="header"`` tells leading text by its form
-    (see ``is_record``); ``preamble="position"`` drops the first row of each file that does not
-    start with the mark, whatever it looks like, at the price of one more pass over the files.
+
+def drop_leading_text(rows: DataFrame) -> DataFrame:
+    """Drop the first row of each file that does not begin with the record mark.
+
+    Only the first row of a file can hold other text than a record, whatever it looks like; later rows have lost
+    their mark to the row separator. ``mid`` has to be taken in the scan. The first rows are one narrow row per file.
     """
-    rows = (
-        spark.read.option("lineSep", f"\n{RECORD_MARK}")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("source"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("mid"),
-            F.make_valid_utf8("value").alias("record"),
-        )
-    )
-    if preamble == "header":
-        return rows.filter(is_record(F.col("block"), F.col("record")))
-    if preamble != "position":
-        raise ValueError(f"preamble must be 'header' or 'position', not {preamble!r}")
     first = rows.filter(F.col("block") == 0).groupBy("source").agg(F.min("mid").alias("first_mid"))
     leading = (F.col("block") == 0) & (F.col("mid") == F.col("first_mid")) & ~F.col("record").startswith(RECORD_MARK)
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dbgauge.schemas import RECORD, SUMMARY
@@ -15,25 +15,47 @@ FILE_COLUMNS = ["file", "file_size"]
 def read_records(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """``file, file_size, text, record``: one row per file, or per line with ``multiline=False``.
 
-    ``record`` is a VARIANT; text that is no JSON gives NULL. One file holds one record of at most a
+    ``record`` is a VARIANT; text that is not one JSON value gives NULL, also that of an empty file; blank lines
+    of a line file are no records. One file holds one record of at most a
     few MB, so reading whole files keeps tasks small; use line files to land many records together.
     """
-    raw = spark.read.text(path, wholetext=multiline).select(
+    raw = spark.read.text(path, wholetext=multiline)
+    found = raw.select(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_size").alias("file_size"),
         F.make_valid_utf8("value").alias("text"),
     )
-    return with_variant(raw.filter(F.trim("text") != ""))
+    if not multiline:
+        return with_variant(found.filter(F.trim("text") != ""))
+    # a scan skips files of no bytes; the index of files, which it holds on the driver anyway, has them
+    listed = spark.createDataFrame([(name,) for name in raw.inputFiles()], "_path string")
+    read = raw.select(F.col("_metadata.file_path").alias("_path"))
+    empty = listed.join(read, "_path", "left_anti").select(
+        F.regexp_extract("_path", "([^/]*)$", 1).alias("file"), F.lit(0).cast("bigint").alias("file_size"), F.lit("").alias("text")
+    )
+    return with_variant(found.unionByName(empty))
+
+
+def _alone(text: Column) -> Column:
+    """The text as a VARIANT if it is one JSON value and nothing else; NULL otherwise.
+
+    A parser stops behind the first value. As the first of exactly two items of an array, text with junk or another
+    value behind it is no JSON or makes a third item.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"end"]')))
+    ends = (F.try_variant_get(pair, "$[1]", "string") == "end") & F.variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(ends, F.variant_get(pair, "$[0]", "variant"))
 
 
 def with_variant(records: DataFrame, text: str = "text") -> DataFrame:
-    return records.withColumn("record", F.try_parse_json(F.col(text)))
+    """Add ``record``; text that is empty, no JSON, or has more behind its value, or an object that repeats a key, gives NULL."""
+    return records.withColumn("record", _alone(F.col(text)))
 
 
 def typed_records(records: DataFrame, text: str = "text", keep: Sequence[str] = FILE_COLUMNS) -> DataFrame:
     """Kept columns and the record's fields as typed columns; only the fields used later are parsed."""
     kept = [name for name in keep if name in records.columns]
-    return records.select(*kept, F.from_json(F.col(text), RECORD).alias("_r")).select(*kept, "_r.*")
+    return records.select(*kept, F.from_json(F.when(_alone(F.col(text)).isNotNull(), F.col(text)), RECORD).alias("_r")).select(*kept, "_r.*")
 
 
 def read_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -42,9 +64,10 @@ def read_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str, pretty: bool = False, mode: str = "error") -> None:
-    """Write records as JSON, nulls included; ``pretty`` indents (records then span lines)."""
+    """Write records as JSON, nulls included; ``pretty`` indents, one record per file as it spans lines."""
     options = {"ignoreNullFields": "false"}
     if pretty:
         options["pretty"] = "true"
     body = F.to_json(F.struct(*records.columns), options)
-    records.select(body.alias("value")).write.mode(mode).text(path)
+    writer = records.select(body.alias("value")).write.mode(mode)
+    (writer.option("maxRecordsPerFile", 1) if pretty else writer).text(path)

@@ -2,8 +2,8 @@ from dbgauge.streaming.jobs import (
     digest_stream,
     ingest_logs,
     pg_entry_stream,
+    read_entry_stream,
     read_line_stream,
-    read_record_stream,
     stream_alerts,
     stream_digests,
     untimed_entries,
@@ -14,8 +14,8 @@ __all__ = [
     "digest_stream",
     "ingest_logs",
     "pg_entry_stream",
+    "read_entry_stream",
     "read_line_stream",
-    "read_record_stream",
     "stream_alerts",
     "stream_digests",
     "untimed_entries",

@@ -16,20 +16,15 @@ from dbgauge.functions.text import ascii_lower, strip_ws
 from dbgauge.operators.alerts import ALERT_RULES, line_categories
 from dbgauge.operators.digest import exact_total
 from dbgauge.operators.slowlog import log_line_time, parse_mysql_slow_log, pg_duration_secs, pg_statement_sql
-from dbgauge.sources.logs import RECORD_MARK, is_record
+from dbgauge.sources.logs import RECORD_MARK, drop_leading_text, record_rows
 
 
-def read_record_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Slow-log records ``source, record`` of the files landed in ``path``."""
-    reader = spark.readStream.option("lineSep", f"\n{RECORD_MARK}")
+def read_entry_stream(spark: SparkSession, entries: str, max_files: int | None = None) -> DataFrame:
+    """Entries that ``ingest_logs`` has written, as a stream; the folder has to hold some."""
+    reader = spark.readStream.schema(spark.read.parquet(entries).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.make_valid_utf8("value").alias("record"),
-    )
-    return rows.filter(is_record(F.col("block"), F.col("record"))).select("source", "record")
+    return reader.parquet(entries)
 
 
 def read_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -49,7 +44,7 @@ def _window(kind: str, size: str, slide: str | None) -> Column:
 
 
 def stream_digests(
-    records: DataFrame,
+    entries: DataFrame,
     window: str,
     watermark: str,
     slide: str | None = None,
@@ -61,8 +56,8 @@ def stream_digests(
     Entries without a time are in no window; ``untimed_entries`` counts them. The sample is the
     statement with the earliest time.
     """
-    entries = parse_mysql_slow_log(records).filter(F.col("ts").isNotNull()).withWatermark("ts", watermark)
-    return digest_stream(entries, _window(kind, window, slide), by)
+    timed = entries.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark)
+    return digest_stream(timed, _window(kind, window, slide), by)
 
 
 def digest_stream(entries: DataFrame, window: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -79,9 +74,9 @@ def digest_stream(entries: DataFrame, window: Column, by: Sequence[str] = ()) ->
     return totals.withColumn("avg_query_time_secs", F.col("total_query_time_secs") / F.col("count"))
 
 
-def untimed_entries(records: DataFrame) -> DataFrame:
+def untimed_entries(entries: DataFrame) -> DataFrame:
     """Number of entries that no window counts because their time is missing or unreadable."""
-    return parse_mysql_slow_log(records).filter(F.col("ts").isNull()).groupBy().agg(F.count("*").alias("count"))
+    return entries.filter(F.col("ts").isNull()).groupBy().agg(F.count("*").alias("count"))
 
 
 def stream_alerts(
@@ -141,17 +136,25 @@ def _utc_day(name: str) -> Column:
 
 
 def ingest_logs(
-    spark: SparkSession, in_dir: str, out: str, checkpoint: str, once: bool = True, interval: str = "60 seconds"
+    spark: SparkSession, in_dir: str, out: str, checkpoint: str, once: bool = True, interval: str = "60 seconds", max_files: int | None = None
 ) -> StreamingQuery:
-    """Parse every newly landed slow-log file once and append its entries to Parquet, by UTC day.
+    """Parse every newly landed slow-log file once and append its entries to Parquet, by batch and UTC day.
 
-    The checkpoint remembers what was read, so a restart goes on where the last run ended. ``once``
-    reads what is there and ends; otherwise the query looks for new files every ``interval``.
+    The checkpoint remembers what was read, so a restart goes on where the last run ended, and a repeated batch writes over its own
+    folder. A batch is an ordinary frame, so the text before a file's first record is told exactly as in
+    batch reading. ``once`` reads what is there and ends; otherwise the query looks for new files every ``interval``.
     """
-    entries = parse_mysql_slow_log(read_record_stream(spark, in_dir)).withColumn("day", _utc_day("ts"))
-    writer = entries.writeStream.format("parquet").partitionBy("day").option("path", out).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if once else {"processingTime": interval}
-    return writer.outputMode("append").trigger(**trigger).start()
+    reader = spark.readStream.option("lineSep", f"\n{RECORD_MARK}")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def save(batch: DataFrame, number: int) -> None:
+        records = drop_leading_text(batch.withColumn("mid", F.monotonically_increasing_id()))
+        entries = parse_mysql_slow_log(records).withColumn("day", _utc_day("ts"))
+        entries.write.mode("overwrite").partitionBy("day").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    writer = record_rows(reader.text(in_dir)).writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    return writer.trigger(**({"availableNow": True} if once else {"processingTime": interval})).start()
 
 
 def write_windows(frame: DataFrame, out: str, checkpoint: str, mode: str = "complete", once: bool = True) -> StreamingQuery:

@@ -203,3 +203,19 @@ def test_golden_summaries(spark, write, tmp_path):
     golden.write_text(json.dumps([summary("mysql_a_level0.json", False), summary("mysql_c_level1.json", True)], indent=2))
     found = diff_summaries(actual, read_summaries(spark, str(golden))).collect()
     assert sorted((r.difference, r.file) for r in found) == [("missing", "mysql_c_level1.json"), ("unexpected", "mysql_b_level1.json")]
+
+
+def test_files_that_are_not_one_record(spark, write):
+    """Empty files and text behind a value are seen, not skipped or cut."""
+    path = write(a__json='{"x": 1}', b__json="", c__json=" \n", d__json='{"x": 1} junk', e__json='{"x": 1}\n{"x": 2}', f__json='{"x": 1},"end"', g__json='{"x": 1}, null', h__json=' {"x": [1, 2]}\n', i__json='{"x": 1}]')
+    landed = read_records(spark, path)
+    assert {r.file: r.ok for r in landed.selectExpr("file", "record is not null as ok").collect()} == {f"{n}.json": n in "ah" for n in "abcdefghi"}
+    broken = {r.file for r in validate_records(landed).collect()}
+    assert {f"{n}.json" for n in "bcdefgi"} <= broken
+    assert {r.file for r in typed_records(landed).where("engine is null").collect()} == {f"{n}.json" for n in "abcdefghi"}
+
+
+def test_pretty_records_stand_in_files_of_their_own(spark, tmp_path):
+    out = str(tmp_path / "pretty")
+    write_records(spark.range(5).coalesce(1), out, pretty=True)
+    assert sorted(r.id for r in read_records(spark, out).selectExpr("try_variant_get(record, '$.id', 'int') as id").collect()) == [0, 1, 2, 3, 4]

@@ -21,9 +21,9 @@ from dbgauge.sources.logs import lines_from_table, read_log_lines
 
 def test_os_samples(spark):
     contents = [
-        ("a", 1, "/proc/stat", "cpu  101 202 303 404 11 12 13 14 0 0\ncpu0 1 2 3 4 5 6 7 8 9 10"),
-        ("a", 1, "/proc/meminfo", "MemTotal:       8000000 kB\nMemAvailable:   3000000 kB\nSwapTotal:      1000000 kB\nSwapFree:        750000 kB\n"),
-        ("a", 1, "/proc/loadavg", "0.10 0.20 0.30 2/222 98765"),
+        ("a", 1, "/proc/stat", "cpu  71 5 2301 88000 640 9 31 2 0 0\ncpu0 3 1 4 1 5 9 2 6 5 3"),
+        ("a", 1, "/proc/meminfo", "MemTotal:       16336512 kB\nMemAvailable:    912004 kB\nSwapTotal:      2097148 kB\nSwapFree:       2096000 kB\n"),
+        ("a", 1, "/proc/loadavg", "1.25 0.75 0.05 3/1417 20771"),
         ("b", 1, "/proc/stat", "cpu 1 2 3 x"),
         ("b", 1, "/proc/meminfo", "MemTotal: 5\nMemTotal: 6 kB\nMemTotal: 7x kB\n MemAvailable : +4\r\n"),
         ("b", 1, "/proc/loadavg", "0.1 0.2 0.3 2/222"),
@@ -33,9 +33,9 @@ def test_os_samples(spark):
     ]
     samples = spark.createDataFrame(contents, "instance string, ts int, path string, content string")
     a, b, c = rows(parse_os_samples(samples).orderBy("instance"))
-    assert a["proc_cpu"] == {"user": 101, "nice": 202, "system": 303, "idle": 404, "iowait": 11, "irq": 12, "softirq": 13, "steal": 14}
-    assert a["proc_mem"] == {"mem_total_kb": 8000000, "mem_available_kb": 3000000, "swap_total_kb": 1000000, "swap_free_kb": 750000}
-    assert a["load_average"] == {"one": 0.1, "five": 0.2, "fifteen": 0.3, "running_tasks": "2/222", "last_pid": 98765}
+    assert a["proc_cpu"] == {"user": 71, "nice": 5, "system": 2301, "idle": 88000, "iowait": 640, "irq": 9, "softirq": 31, "steal": 2}
+    assert a["proc_mem"] == {"mem_total_kb": 16336512, "mem_available_kb": 912004, "swap_total_kb": 2097148, "swap_free_kb": 2096000}
+    assert a["load_average"] == {"one": 1.25, "five": 0.75, "fifteen": 0.05, "running_tasks": "3/1417", "last_pid": 20771}
     assert b["proc_cpu"] is None and b["load_average"] is None
     assert b["proc_mem"] == {"mem_total_kb": 6, "mem_available_kb": 4, "swap_total_kb": 0, "swap_free_kb": 0}
     assert c["proc_cpu"]["iowait"] == 0 and c["proc_cpu"]["irq"] == 6 and c["proc_mem"] is None
@@ -155,7 +155,7 @@ def offsets(text):
     return out
 
 
-@pytest.mark.parametrize("known,cap", [(None, 10**9), (30, 10**9), (30, 25), (10**6, 40), (0, 1)])
+@pytest.mark.parametrize("known,cap", [(None, 10**9), (30, 10**9), (30, 25), (10**6, 40), (0, 1), (33, 10**9), (35, 10**9), (36, 10**9)])
 def test_appended_since(spark, write, known, cap):
     text = "".join(f"line é {i}\n" if i % 4 else "\n" for i in range(40))
     path = write(x__log=text)
@@ -165,7 +165,12 @@ def test_appended_since(spark, write, known, cap):
     size, offset = len(text.encode()), known or 0
     start = max(size - cap, 0) if size < offset or size - offset > cap else offset
     got = [(r.offset, r.line) for r in appended_since(lines, marks, cap).orderBy("offset").collect()]
-    assert got == [entry for entry in offsets(text) if entry[0] >= start]
+    want = []
+    for at, line in offsets(text):
+        if at + len(line.encode()) + 1 > start:
+            cut = max(start - at, 0)
+            want.append((at + cut, line.encode()[cut:].decode(errors="replace")))
+    assert got == want
 
 
 @pytest.mark.parametrize("max_lines,max_bytes", [(3, None), (500, None), (3, 60), (50, 60), (4, 10**6)])
@@ -182,11 +187,11 @@ def test_tail_blockwise(spark, max_lines, max_bytes):
             assert got[s] == [line for line in kept if line][-max_lines:]
 
 
-def test_slow_log_snapshot_counts_beyond_the_nested(spark):
-    """One instance holds nearly all digests; the nested list is cut, the counters are not."""
-    frame = spark.range(500).select(
-        F.when(F.col("id") < 490, "hot").otherwise("cold").alias("instance"),
-        F.concat(F.lit("f"), F.format_string("%03d", "id")).alias("fingerprint"),
+def test_slow_log_snapshot_keeps_all_digests(spark):
+    """One instance, without a name, holds nearly all digests."""
+    frame = spark.range(1500).select(
+        F.when(F.col("id") >= 1490, "cold").alias("instance"),
+        F.concat(F.lit("f"), F.format_string("%04d", "id")).alias("fingerprint"),
         F.lit("s").alias("sample_sql"),
         F.lit(2).cast("bigint").alias("count"),
         (F.col("id") % 50).cast("double").alias("total_query_time_secs"),
@@ -194,11 +199,11 @@ def test_slow_log_snapshot_counts_beyond_the_nested(spark):
         F.lit(0).cast("bigint").alias("total_rows_sent"),
         F.lit(0).cast("bigint").alias("total_rows_examined"),
     )
-    segment = spark.createDataFrame([("hot", 5), ("hot", 6), ("cold", 1), ("idle", 3)], "instance string, bytes bigint")
-    got = {r["instance"]: r for r in rows(slow_log_snapshot(segment, frame, ["instance"], nested=12))}
-    hot = got["hot"]
-    assert (hot["collected_bytes"], hot["parsed_entries"], hot["digest_count"]) == (11, 980, 490)
-    want = sorted(((-(i % 50), f"f{i:03d}") for i in range(490)))[:12]
+    segment = spark.createDataFrame([(None, 5), (None, 6), ("cold", 1), ("idle", 3)], "instance string, bytes bigint")
+    got = {r["instance"]: r for r in rows(slow_log_snapshot(segment, frame, ["instance"]))}
+    hot = got[None]
+    assert (hot["collected_bytes"], hot["parsed_entries"], hot["digest_count"]) == (11, 2980, 1490)
+    want = sorted(((-(i % 50), f"f{i:04d}") for i in range(1490)))
     assert [d["fingerprint"] for d in hot["digests"]] == [name for _, name in want]
     assert got["cold"]["digest_count"] == 10 and got["idle"]["digests"] == [] and got["idle"]["parsed_entries"] == 0
 
@@ -244,3 +249,40 @@ def test_log_paths(spark):
         "exact": ("/d/log/pg.log", "/d/log/pg.log"), "pattern": ("/d/log/new.log", "/d/log/new.log"), "gone": ("/d/log/new.log", "/d/log/new.log"),
         "off": (None, "/e.log"), "nodir": (None, None), "hidden": (None, None), "my": ("/s.log", None),
     }
+
+
+def test_null_groups_stay(spark):
+    from dbgauge.operators.alerts import alerts
+    from dbgauge.operators.snapshots import error_log_snapshot
+
+    data = [(None, 0, "deadlock one"), (None, 1, "deadlock two"), ("a", 0, "purge"), ("b", 0, "calm")]
+    frame = spark.createDataFrame(data, "instance string, i bigint, line string")
+    lines = lines_from_table(frame, F.coalesce("instance", F.lit("-")), F.col("i"), F.col("line")).withColumn("instance", F.nullif("source", F.lit("-")))
+    found = alerts(lines, ["instance"])
+    assert {(r.instance, r.category, r["count"], tuple(r.sample_lines)) for r in found.collect()} == {(None, "deadlock", 2, ("deadlock one", "deadlock two")), ("a", "purge", 1, ("purge",))}
+    snapshot = error_log_snapshot(lines, found, ["instance"])
+    assert {(r.instance, r.sampled_lines, r.alert_count) for r in snapshot.collect()} == {(None, 2, 1), ("a", 1, 1), ("b", 1, 0)}
+
+
+def test_catalog_numbers_are_strict(spark):
+    values = ["5", " 5 ", "-5", "+7", "1.5", "x", None, "18446744073709551615"]
+    frame = spark.createDataFrame([("i", "app", f"t{n}", "E", v, "0", "0") for n, v in enumerate(values)], "instance string, table_schema string, table_name string, engine string, table_rows string, data_length string, index_length string")
+    got = {r.table_name: r.table_rows for r in table_sizes_mysql(frame).collect()}
+    assert [got[f"t{n}"] for n in range(len(values))] == [5, 0, 0, 7, 0, 0, 0, 0]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from dbgauge.session import shared_dir
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda key: None)))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://shared")) == "hdfs://shared"
+    assert shared_dir(session("local[4]")) == shared_dir(session("local[*]"))
