@@ -28,14 +28,19 @@ def read_records(spark: SparkSession, path: str | list[str], multiline: bool = T
     if not multiline:
         return with_variant(found.filter(F.trim("text") != ""))
     # a scan skips files of no bytes; the index of files, which it holds on the driver anyway, has them
-    listed = spark.createDataFrame([(name,) for name in raw.inputFiles()], "_path string")
-    read = raw.select(F.col("_metadata.file_path").alias("_path"))
+    listed = spark.createDataFrame([(name,) for name in raw.inputFiles()], "_path string").select(_one_form(F.col("_path")).alias("_path"))
+    read = raw.select(_one_form(F.col("_metadata.file_path")).alias("_path"))
     empty = listed.join(read, "_path", "left_anti").select(
         F.regexp_extract("_path", "([^/]*)$", 1).alias("file"), F.lit(0).cast("bigint").alias("file_size"), F.lit("").alias("text")
     )
     return with_variant(found.unionByName(empty))
 
 
+def _one_form(path: Column) -> Column:
+    """A path whose scheme has one slash; listings and scans write ``file:///`` and ``file:/``."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
 def _alone(text: Column) -> Column:
     """The text as a VARIANT if it is one JSON value and nothing else; NULL otherwise.
 
