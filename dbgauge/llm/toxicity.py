@@ -164,10 +164,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(inputs(counts) @ self.weights, -30, 30)))
 
 
-def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of labelled documents; an id with several labels is toxic if one says so."""
+def _labelled(documents: DataFrame, labels: DataFrame, how: str) -> DataFrame:
+    """Texts of labelled documents; an id with several labels is toxic if one says so.
+
+    ``how`` is the join: "merge" for all labels, which grow with the corpus, so the plan is the same at every size; "broadcast" for a sample
+    of bounded size.
+    """
     given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return documents.select("doc_id", "text").join(given, "doc_id")
+    return documents.select("doc_id", "text").join(given.hint(how), "doc_id")
 
 
 def mine_lexicon(documents: DataFrame, labels: DataFrame) -> Lexicon:
@@ -177,7 +181,7 @@ def mine_lexicon(documents: DataFrame, labels: DataFrame) -> Lexicon:
     size is bounded. A stem needs at least three words.
     """
     split = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counted = _labelled(documents, labels).select("toxic", F.explode(split).alias("word")).where("length(word) between 2 and 64")
+    counted = _labelled(documents, labels, "merge").select("toxic", F.explode(split).alias("word")).where("length(word) between 2 and 64")
     words = materialize(counted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where("pos >= 1 or neg >= 3"), "word-counts")
     totals = words.agg(F.sum("pos"), F.sum("neg")).first()
     pos, neg = max(1, totals[0] or 0), max(1, totals[1] or 0)
@@ -204,12 +208,11 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, fi
     total = learned.count()
     share = int(min(1.0, fit_rows / max(1, total)) * (1 << 30))
     chosen = learned.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share).select("doc_id", "toxic")
-    chosen = F.broadcast(chosen) if share < (1 << 30) or total <= fit_rows else chosen  # about fit_rows narrow rows
 
     def make():
         return lambda texts: [[evidence(t, lexicon).tolist() for t in texts]]
 
-    rows = map_texts(_labelled(documents, chosen), "text", make, "counts array<double>").select("doc_id", "toxic", "counts").collect()
+    rows = map_texts(_labelled(documents, chosen, "broadcast"), "text", make, "counts array<double>").select("doc_id", "toxic", "counts").collect()
     counts = np.array([r.counts for r in sorted(rows, key=lambda r: r.doc_id)]).reshape(len(rows), WORD_VOTERS + STEM_VOTERS + 4)
     given = votes(counts)
     if not len(rows) or not (given > 0).any() or (given > 0).any(axis=1).all():
