@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +120,13 @@ def fit(documents: DataFrame, learn: Column | None = None, dimensions: int = DIM
     if not sizes:
         return Model(idf, [], np.zeros((0, dimensions), np.float32), np.zeros(0))
     shares = documents.sparkSession.createDataFrame([(lang, int(min(1.0, fit_rows / n) * (1 << 30))) for lang, n in sizes.items()], "lang string, below bigint")
-    sample = rows.join(F.broadcast(shares) if len(sizes) < 10_000 else shares, "lang").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < F.col("below")).select("lang", "text")
-    # texts that copy each other hash alike; a language whose sample is all copies still has one
+    sample = rows.join(F.broadcast(shares) if len(sizes) < 10_000 else shares, "lang").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < F.col("below")).select("lang", "text").distinct()
+    # copies hash alike, so they are chosen together: as one text, however many they are
 
     def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors = [weighted(gram_counts(t, dimensions), idf) for frame in frames for t in frame["text"].unique() if has_letter(t)]
-        vectors = [v for v in vectors if v.any()]
+        # in the order of their hashes: the first centroids, and so the model, do not depend on the order of the shuffle
+        made = {xxhash.xxh64_intdigest(t.encode()): weighted(gram_counts(t, dimensions), idf) for frame in frames for t in frame["text"] if has_letter(t)}
+        vectors = [made[h] for h in sorted(made) if made[h].any()]
         if vectors:
             found, floor = cluster(np.stack(vectors), centroids)
             yield pd.DataFrame({"lang": key[0], "centroid": [c.tolist() for c in found], "floor": floor * reject_share})
