@@ -36,7 +36,14 @@ def _user_tables(rows: DataFrame, schema: str, system: Sequence[str]) -> DataFra
     return rows.filter(F.col(schema).isNotNull() & ~F.col(schema).isin(list(system)))
 
 
-def table_sizes_mysql(tables: DataFrame, limit: int = TABLE_LIMIT, by: Sequence[str] = ()) -> DataFrame:
+def _listed(rows: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int | None, spread_on: Sequence[str]) -> DataFrame:
+    """The first ``limit`` rows of each group with their ``rank``; with None all rows, sorted by group and order, without ranks."""
+    if limit is None:
+        return rows.orderBy(*by, *order)
+    return top_per_group(rows, by, order, limit, spread_on=spread_on)
+
+
+def table_sizes_mysql(tables: DataFrame, limit: int | None = TABLE_LIMIT, by: Sequence[str] = ()) -> DataFrame:
     """Largest tables by data plus index length; ties by schema and table name."""
     sizes = _user_tables(tables, "table_schema", MYSQL_SYSTEM_SCHEMAS).select(
         *by,
@@ -49,10 +56,10 @@ def table_sizes_mysql(tables: DataFrame, limit: int = TABLE_LIMIT, by: Sequence[
         (_unsigned("data_length") + _unsigned("index_length")).alias("total_length"),
     )
     order = [F.col("total_length").desc(), F.col("table_schema"), F.col("table_name")]
-    return top_per_group(sizes, by, order, limit, spread_on=["table_schema", "table_name"] if by else ())
+    return _listed(sizes, by, order, limit, spread_on=["table_schema", "table_name"] if by else ())
 
 
-def indexes_mysql(statistics: DataFrame, limit: int = INDEX_LIMIT, by: Sequence[str] = ()) -> DataFrame:
+def indexes_mysql(statistics: DataFrame, limit: int | None = INDEX_LIMIT, by: Sequence[str] = ()) -> DataFrame:
     """Index columns in order of schema, table, index and position in the index."""
     rows = _user_tables(statistics, "table_schema", MYSQL_SYSTEM_SCHEMAS).select(
         *by,
@@ -66,11 +73,11 @@ def indexes_mysql(statistics: DataFrame, limit: int = INDEX_LIMIT, by: Sequence[
     )
     names = ["table_schema", "table_name", "index_name"]
     order = [*[F.col(name) for name in names], F.col("seq_in_index"), F.col("column_name")]
-    return top_per_group(rows, by, order, limit, spread_on=names if by else ())
+    return _listed(rows, by, order, limit, spread_on=names if by else ())
 
 
 def table_sizes_pg(
-    pg_class: DataFrame, pg_namespace: DataFrame, limit: int = TABLE_LIMIT, by: Sequence[str] = ()
+    pg_class: DataFrame, pg_namespace: DataFrame, limit: int | None = TABLE_LIMIT, by: Sequence[str] = ()
 ) -> DataFrame:
     """Largest ordinary tables by total relation size; ties by schema and table name.
 
@@ -93,10 +100,10 @@ def table_sizes_pg(
         )
     )
     order = [F.col("total_length").desc(), F.col("table_schema"), F.col("table_name")]
-    return top_per_group(sizes, by, order, limit, spread_on=["table_schema", "table_name"] if by else ())
+    return _listed(sizes, by, order, limit, spread_on=["table_schema", "table_name"] if by else ())
 
 
-def indexes_pg(pg_indexes: DataFrame, limit: int = INDEX_LIMIT, by: Sequence[str] = ()) -> DataFrame:
+def indexes_pg(pg_indexes: DataFrame, limit: int | None = INDEX_LIMIT, by: Sequence[str] = ()) -> DataFrame:
     """Index definitions in order of schema, table and index name."""
     rows = _user_tables(pg_indexes, "schemaname", PG_SYSTEM_SCHEMAS).select(
         *by,
@@ -106,4 +113,4 @@ def indexes_pg(pg_indexes: DataFrame, limit: int = INDEX_LIMIT, by: Sequence[str
         F.col("indexdef").alias("index_def"),
     )
     names = ["table_schema", "table_name", "index_name"]
-    return top_per_group(rows, by, [F.col(name) for name in names], limit, spread_on=names if by else ())
+    return _listed(rows, by, [F.col(name) for name in names], limit, spread_on=names if by else ())

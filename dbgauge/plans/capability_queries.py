@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dbgauge.operators.capability import (
-    ANY_SOURCES,
-    DEEP_SAMPLERS,
-    LEVEL_REASONS,
-    PG_REASONS,
-    PROBE_FLAGS,
-    REQUIRED_SOURCES,
-    TASKS,
-    build_probes,
-    capabilities,
-    downgrade_reasons,
-    negotiate,
-    plan_tasks,
-)
+from dbgauge.operators.capability import build_probes, capabilities, downgrade_reasons, negotiate, plan_tasks
 from dbgauge.plans.inputs import table
 
-ALL_SOURCES = [name for names in [*REQUIRED_SOURCES.values(), *ANY_SOURCES.values()] for name in names]
+# Fixed values, stated here once more so that inputs and expected rows do not follow the operators: sources and probe flags.
+SOURCES = (
+    "mysql.connect mysql.global_status mysql.variables mysql.tables mysql.indexes mysql.replication_status "
+    "postgres.connect postgres.global_status postgres.settings postgres.tables postgres.indexes postgres.replication_status "
+    "slow_log.threshold slow_log.enable slow_log.read error_log.read "
+    "os.proc_cpu os.proc_mem os.load_average os.vmstat os.iostat os.sar"
+).split()
+FLAGS = (
+    "has_mysql_status_access has_mysql_variables_access has_information_schema_access has_replication_status_access has_os_metrics_access "
+    "can_enable_slow_log_hot_switch can_read_slow_log can_read_error_log performance_schema_enabled has_performance_schema_access "
+    "has_sys_schema_access can_capture_tcpdump_short_window can_capture_perf_short_window can_capture_strace_short_window "
+    "can_sample_innodb_status_high_frequency"
+).split()
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     tried = F.array(*[
         F.when((key + number) % 11 != 0, F.struct(F.lit(name).alias("source"), ((key * 7 + number * 13) % 9 != 0).alias("ok")))
-        for number, name in enumerate(ALL_SOURCES)
+        for number, name in enumerate(SOURCES)
     ])
     return table(spark, sf_dir, "customer").select(
         key.alias("instance"),
@@ -52,7 +51,7 @@ def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         key.alias("instance"),
         F.when(key % 2 == 0, "mysql").otherwise("postgres").alias("engine"),
-        *[((key + number * 5) % 29 != 0).alias(flag) for number, flag in enumerate(PROBE_FLAGS)],
+        *[((key + number * 5) % 29 != 0).alias(flag) for number, flag in enumerate(FLAGS)],
         (key % 4).alias("preferred_level"),
         F.floor(key / 4 % 4).alias("max_accepted_level"),
         (key % 3 != 0).alias("expert_mode_enabled"),
@@ -84,75 +83,84 @@ QUERIES = {
 }
 
 
-def _answered(name: str) -> str:
-    number = ALL_SOURCES.index(name)
-    return f"((c_custkey + {number}) % 11 <> 0 AND (c_custkey * 7 + {number} * 13) % 9 <> 0)"
-
-
-_FLAGS = {
-    **{flag: " AND ".join(map(_answered, names)) for flag, names in REQUIRED_SOURCES.items()},
-    **{flag: f"({' OR '.join(map(_answered, names))})" for flag, names in ANY_SOURCES.items()},
-}
-_CAPABILITIES = (
-    "SELECT c_custkey AS instance, CASE WHEN c_custkey % 2 = 0 THEN 'mysql' ELSE 'postgres' END AS engine, "
-    + ", ".join(f"{sql} AS {flag}" for flag, sql in _FLAGS.items())
-    + " FROM customer"
-)
-_EITHER = {
-    "has_mysql_status_access": ("mysql_status_access", "has_status_access"),
-    "has_mysql_variables_access": ("mysql_variables_access", "has_settings_access"),
-    "has_information_schema_access": ("information_schema_access", "has_storage_access"),
-    "has_replication_status_access": ("replication_status_access", "has_replication_status_access"),
-    "has_os_metrics_access": ("os_metrics_access", "os_metrics_access"),
-}
-_SHARED = ["can_enable_slow_log_hot_switch", "can_read_slow_log", "can_read_error_log"]
-
-
-def _probe_sql(flag: str) -> str:
-    if flag in _EITHER:
-        mysql, postgres = _EITHER[flag]
-        return f"CASE WHEN engine = 'mysql' THEN {mysql} ELSE {postgres} END AS {flag}"
-    return flag if flag in _SHARED else f"false AS {flag}"
-
-
-def _holds(flag: str) -> str:
-    """SQL truth of a flag of the probe rows."""
-    if flag == "expert_mode_enabled":
-        return "c_custkey % 3 <> 0"
-    if flag == "has_deep_sampler":
-        return "(" + " OR ".join(map(_holds, DEEP_SAMPLERS)) + ")"
-    return f"((c_custkey + {PROBE_FLAGS.index(flag)} * 5) % 29 <> 0)"
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
-
-def _reasons(level: int, postgres: bool) -> str:
-    own = [pair for lower in range(level + 1) for pair in LEVEL_REASONS[lower]]
-    worded = [(flag, PG_REASONS.get(text, text) if postgres else text) for flag, text in own]
-    return "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {_holds(flag)} THEN {_text(text)} END" for flag, text in worded) + ")"
-
-
-_LEVELS = (
-    "WITH l AS (SELECT *, least(c_custkey % 4, c_custkey // 4 % 4) AS target FROM customer), e AS ("
-    + " UNION ALL ".join(
-        f"SELECT c_custkey AS instance, {level} AS level_no, {_reasons(level, False)} AS reasons, {_reasons(level, True)} AS pg_reasons, "
-        f"{_holds('has_sys_schema_access')} AS sys_access FROM l WHERE target >= {level}"
-        for level in range(4)
-    )
-    + "), s AS (SELECT instance, coalesce(max(level_no) FILTER (WHERE reasons = ''), 0) AS selected, any_value(sys_access) AS sys_access FROM e GROUP BY 1)"
-)
+# Expected rows, from literals only.
+_CAPABILITIES = """
+WITH a AS (
+  SELECT c_custkey, list_transform(range(0, 22), lambda n: (c_custkey + n) % 11 <> 0 AND (c_custkey * 7 + n * 13) % 9 <> 0) AS ok FROM customer
+), c AS (
+  SELECT c_custkey AS instance, CASE WHEN c_custkey % 2 = 0 THEN 'mysql' ELSE 'postgres' END AS engine,
+    ok[1] AS mysql_connected, ok[2] AS mysql_status_access, ok[3] AS mysql_variables_access, ok[4] AND ok[5] AS information_schema_access,
+    ok[6] AS replication_status_access, ok[7] AS postgres_connected, ok[8] AS has_status_access, ok[9] AS has_settings_access,
+    ok[10] AND ok[11] AS has_storage_access, ok[12] AS has_replication_status_access, ok[13] AND ok[14] AS can_enable_slow_log_hot_switch,
+    ok[15] AS can_read_slow_log, ok[16] AS can_read_error_log, ok[17] OR ok[18] OR ok[19] OR ok[20] OR ok[21] OR ok[22] AS os_metrics_access
+  FROM a
+)"""
+_PROBES = _CAPABILITIES + """
+SELECT instance, engine, CASE engine WHEN 'mysql' THEN mysql_status_access ELSE has_status_access END AS has_mysql_status_access,
+  CASE engine WHEN 'mysql' THEN mysql_variables_access ELSE has_settings_access END AS has_mysql_variables_access,
+  CASE engine WHEN 'mysql' THEN information_schema_access ELSE has_storage_access END AS has_information_schema_access,
+  CASE engine WHEN 'mysql' THEN replication_status_access ELSE has_replication_status_access END AS has_replication_status_access,
+  os_metrics_access AS has_os_metrics_access, can_enable_slow_log_hot_switch, can_read_slow_log, can_read_error_log,
+  false AS performance_schema_enabled, false AS has_performance_schema_access, false AS has_sys_schema_access,
+  false AS can_capture_tcpdump_short_window, false AS can_capture_perf_short_window, false AS can_capture_strace_short_window,
+  false AS can_sample_innodb_status_high_frequency
+FROM c"""
+# Level, number of the flag in FLAGS (15: expert mode, 16: any deep sampler), reason, reason on PostgreSQL.
+_REASONS = """
+  (0, 0, 'missing SHOW GLOBAL STATUS access', 'missing pg_stat_database access'),
+  (0, 1, 'missing SHOW VARIABLES access', 'missing pg_settings access'),
+  (0, 2, 'missing INFORMATION_SCHEMA access', 'missing relation/index metadata access'),
+  (0, 3, 'missing replication status access', 'missing pg_stat_replication/pg_stat_wal_receiver access'),
+  (0, 4, 'missing OS-level metrics access (/proc, vmstat, iostat, sar)', 'missing OS-level metrics access (/proc, vmstat, iostat, sar)'),
+  (1, 5, 'cannot hot-enable slow log', 'cannot hot-enable log_min_duration_statement (ALTER SYSTEM + reload)'),
+  (1, 6, 'cannot collect slow log for digest aggregation', 'cannot collect statement log for digest aggregation'),
+  (1, 7, 'cannot collect error log', 'cannot collect PostgreSQL log alerts'),
+  (2, 8, 'performance_schema is disabled', 'performance_schema is disabled'),
+  (2, 9, 'missing performance_schema read access', 'missing performance_schema read access'),
+  (3, 15, 'expert mode is disabled by policy', 'expert mode is disabled by policy'),
+  (3, 14, 'cannot sample InnoDB status at high frequency', 'cannot sample InnoDB status at high frequency'),
+  (3, 16, 'no short-window deep sampler available (tcpdump/perf/strace)', 'no short-window deep sampler available (tcpdump/perf/strace)')"""
+_LEVELS = f"""
+WITH f AS (
+  SELECT c_custkey AS instance, least(c_custkey % 4, c_custkey // 4 % 4) AS target,
+    list_transform(range(0, 15), lambda n: (c_custkey + n * 5) % 29 <> 0) AS flags FROM customer
+), p AS (
+  SELECT instance, target, flags[11] AS sys_access, flags || [instance % 3 <> 0, flags[12] OR flags[13] OR flags[14]] AS flags FROM f
+), q(level, flag, text, pg_text) AS (VALUES {_REASONS}
+), m AS (SELECT instance, level, text, pg_text, flag FROM p JOIN q ON NOT flags[flag + 1]),
+o AS (SELECT *, CASE flag WHEN 15 THEN 13 WHEN 14 THEN 14 WHEN 16 THEN 15 ELSE flag END AS place FROM m),
+e AS (
+  SELECT p.instance, l.level_no, any_value(sys_access) AS sys_access, coalesce(string_agg(text, '; ' ORDER BY place), '') AS reasons,
+    coalesce(string_agg(pg_text, '; ' ORDER BY place), '') AS pg_reasons
+  FROM p JOIN (VALUES (0), (1), (2), (3)) l(level_no) ON l.level_no <= target LEFT JOIN o ON o.instance = p.instance AND o.level <= l.level_no GROUP BY 1, 2
+), s AS (SELECT instance, coalesce(max(level_no) FILTER (WHERE reasons = ''), 0) AS selected, any_value(sys_access) AS sys_access FROM e GROUP BY 1)"""
+# Level, name, source and purpose of the collection tasks.
+_TASKS = """
+  (0, 'global_status', 'SHOW GLOBAL STATUS', 'Capture throughput/latency/error counters'),
+  (0, 'global_variables', 'SHOW VARIABLES', 'Capture runtime settings and limits'),
+  (0, 'schema_storage', 'INFORMATION_SCHEMA.TABLES/STATISTICS', 'Collect table size and index layout'),
+  (0, 'replication_status', 'SHOW REPLICA/SLAVE STATUS', 'Observe replication health and lag'),
+  (0, 'os_basic_metrics', '/proc + vmstat/iostat/sar', 'Capture CPU, memory, IO pressure'),
+  (1, 'slow_log_window', 'slow_query_log', 'Collect slow SQL with threshold and time window'),
+  (1, 'slow_log_digest', 'slow_query_log digest', 'Aggregate similar SQL fingerprints'),
+  (1, 'error_log_alerts', 'error log', 'Detect deadlock/crash recovery/purge/replication alerts'),
+  (2, 'statement_summary', 'performance_schema.events_statements_summary_by_digest', 'Track SQL latency and digest-level hotspots'),
+  (2, 'wait_events', 'performance_schema wait event tables', 'Attribute CPU/IO/lock wait bottlenecks'),
+  (2, 'metadata_locks', 'performance_schema.metadata_locks', 'Find metadata lock contention'),
+  (2, 'transaction_lock_views', 'performance_schema', 'Correlate transaction and lock wait chains'),
+  (2, 'sys_schema_helpers', 'sys schema', 'Use pre-joined lock and statement diagnostic views'),
+  (3, 'tcpdump_short_window', 'tcpdump', 'Capture packet-level anomalies in short windows'),
+  (3, 'perf_or_strace_short_window', 'perf/strace', 'Capture syscall and CPU hotspots in short windows'),
+  (3, 'innodb_status_hf', 'SHOW ENGINE INNODB STATUS', 'High-frequency sampling for expert diagnostics')"""
 
 ORACLES = {
-    "capabilities": _CAPABILITIES,
-    "build_probes": f"WITH c AS ({_CAPABILITIES}) SELECT instance, engine, {', '.join(map(_probe_sql, PROBE_FLAGS))} FROM c",
+    "capabilities": _CAPABILITIES + " SELECT * FROM c",
+    "build_probes": _PROBES,
     "negotiate": _LEVELS + " SELECT instance, 'Level ' || selected AS selected_level, 'Level ' || level_no AS level, reasons = '' AS ok, reasons FROM e JOIN s USING (instance)",
     "downgrade_reasons": _LEVELS + """
 SELECT instance, 'Level ' || any_value(selected) AS selected_level, coalesce(string_agg('[Level ' || level_no || '] ' ||
   CASE WHEN instance % 2 = 0 THEN reasons ELSE pg_reasons END, ' | ' ORDER BY level_no DESC) FILTER (WHERE reasons <> ''), '') AS downgrade_reasons
 FROM e JOIN s USING (instance) GROUP BY instance""",
-    "plan_tasks": _LEVELS + ", t(level_no, name, source, purpose) AS (VALUES "
-    + ", ".join(f"({level}, {_text(name)}, {_text(source)}, {_text(purpose)})" for level, name, source, purpose in TASKS)
-    + ") SELECT instance, 'Level ' || level_no AS level, name, source, purpose FROM s JOIN t ON level_no <= selected WHERE name <> 'sys_schema_helpers' OR sys_access",
+    "plan_tasks": _LEVELS + f""", t(level_no, name, source, purpose) AS (VALUES {_TASKS}
+) SELECT instance, 'Level ' || level_no AS level, name, source, purpose FROM s JOIN t ON level_no <= selected WHERE name <> 'sys_schema_helpers' OR sys_access""",
 }

@@ -115,6 +115,41 @@ def indexes_postgres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes_pg(rows).drop("rank")
 
 
+FLEET = 3
+
+
+def _fleet_pg_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same oids in every instance, under other names; which oid is a system schema differs too. One instance has no name."""
+    relations, namespaces = _pg_catalog(spark, sf_dir)
+    instance = lambda n: F.when(n != 0, F.concat(F.lit("pg"), n.cast("string")))
+    number = (F.col("data_length") / 8192).cast("bigint") % FLEET
+    copies = namespaces.select("oid", F.explode(F.sequence(F.lit(0), F.lit(FLEET - 1))).alias("n"))
+    named = copies.join(table(spark, sf_dir, "nation"), F.col("oid") == F.col("n_nationkey")).select(
+        instance(F.col("n")).alias("instance"),
+        "oid",
+        F.when(F.col("oid") == F.col("n"), "pg_catalog").otherwise(F.concat("n_name", F.lit("-"), F.col("n").cast("string"))).alias("nspname"),
+    )
+    return relations.withColumn("instance", instance(number)), named
+
+
+def table_sizes_postgres_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table_sizes_pg(*_fleet_pg_catalog(spark, sf_dir), BY_LIMIT, ["instance"])
+    return sizes.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def indexes_postgres_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index inventory of a fleet, without a limit."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.when(key % FLEET != 0, F.concat(F.lit("pg"), (key % FLEET).cast("string"))).alias("instance"),
+        F.when(key % 11 == 0, "information_schema").otherwise(F.col("p_brand")).alias("schemaname"),
+        F.concat(F.lit("t"), (key % 10).cast("string")).alias("tablename"),
+        F.concat("p_name", F.lit("-"), key.cast("string")).alias("indexname"),
+        F.concat(F.lit("CREATE INDEX ON t ("), "p_type", F.lit(")")).alias("indexdef"),
+    )
+    return indexes_pg(rows, None, ["instance"])
+
+
 def _pg_stat_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     return lineitem.select(
@@ -240,6 +275,8 @@ QUERIES = {
     "indexes_by": indexes_by,
     "table_sizes_pg": table_sizes_postgres,
     "indexes_pg": indexes_postgres,
+    "table_sizes_pg_by": table_sizes_postgres_by,
+    "indexes_pg_by": indexes_postgres_by,
     "status_rollup": status_rollup,
     "status_total": status_total,
     "pg_replication_status": pg_replication,
@@ -292,6 +329,16 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey > 1 AND
     "indexes_pg": """
 SELECT 'n' || s_nationkey AS table_schema, 't' || (s_suppkey % 10) AS table_name, s_name AS index_name, 'CREATE INDEX ON t (' || s_name || ')' AS index_def
 FROM supplier WHERE s_nationkey <> 3 ORDER BY 1, 2, 3 LIMIT 500""",
+    "table_sizes_pg_by": f"""
+WITH t AS (
+  SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'pg' || (c_custkey % 3) END AS instance, n_name || '-' || (c_custkey % 3) AS table_schema, c_name AS table_name,
+    CAST(CASE WHEN c_custkey % 10 = 0 THEN -1 ELSE floor(c_acctbal) END AS BIGINT) AS estimated_rows, c_custkey * 8192 AS data_length,
+    CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 100 ELSE 0 END AS index_length, (c_custkey * 37) % 1009 AS total_length
+  FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey <> c_custkey % 3 AND c_mktsegment <> 'BUILDING'
+) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance {_SIZE_ORDER}) AS rank FROM t) WHERE rank <= {BY_LIMIT}""",
+    "indexes_pg_by": """
+SELECT CASE WHEN p_partkey % 3 <> 0 THEN 'pg' || (p_partkey % 3) END AS instance, p_brand AS table_schema, 't' || (p_partkey % 10) AS table_name,
+  p_name || '-' || p_partkey AS index_name, 'CREATE INDEX ON t (' || p_type || ')' AS index_def FROM part WHERE p_partkey % 11 <> 0""",
     "status_rollup": _union_of_sums("'db' || (l_suppkey % 10) AS instance,", "GROUP BY 1"),
     "status_total": _union_of_sums("", ""),
     "pg_replication_status": """

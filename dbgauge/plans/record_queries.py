@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from dbgauge.operators.checks import (
     MATRIX_RULES,
+    RESILIENCE_RULES,
     assert_records,
     check_budgets,
     diff_summaries,
     first_failure,
     summarize_records,
 )
+from dbgauge.operators.capability import PROBE_FLAGS, Policy, downgrade_reasons, negotiate
 from dbgauge.operators.contract import validate_records
 from dbgauge.operators.envelope import assemble_records, merge_warnings, source_status
 from dbgauge.plans.inputs import spread, table
@@ -283,6 +285,29 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assert_records(order_records(spark, sf_dir), MATRIX_RULES)
 
 
+def resilience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cycles that timed out or lost log access; levels and reasons come from negotiation."""
+    key = F.col("o_orderkey")
+    flags = {name: F.lit(True) for name in PROBE_FLAGS}
+    for number, name in enumerate(["can_enable_slow_log_hot_switch", "can_read_slow_log", "can_read_error_log"]):
+        flags[name] = (key + number) % 5 == 0
+    timed_out = key % 3 == 0
+    engine = F.when(key % 3 == 2, "postgres").otherwise("mysql")
+    probes = table(spark, sf_dir, "orders").select(key, engine.alias("engine"), *[flag.alias(name) for name, flag in flags.items()])
+    levels = downgrade_reasons(negotiate(probes, Policy(1, 1)))
+    tries = F.when(key % 4 == 0, 2).otherwise(3)
+    failures = F.transform(F.sequence(F.lit(1), tries), lambda n: _named(attempt=n, duration_ms=F.lit(1000).cast("bigint"), status=F.lit("failed"), error=F.lit("x")))
+    records = levels.select(
+        F.when(timed_out, "mysql_timeout_retry.json").otherwise(F.concat("engine", F.lit("_level1_downgrade.json"))).alias("file"),
+        F.when(timed_out & (key % 7 != 0), "failed").otherwise("ok").alias("status"),
+        F.when(timed_out & (key % 5 != 0), "collection timed out after 1000ms").alias("error"),
+        "selected_level",
+        failures.alias("attempts"),
+        _named(downgrade_reasons=F.col("downgrade_reasons")).alias("payload"),
+    )
+    return assert_records(records, RESILIENCE_RULES).groupBy("file", "message", "passed").agg(F.count("*").alias("records"))
+
+
 def source_status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_records(spark, sf_dir).select("file", F.inline(source_status(F.col("payload"))))
 
@@ -362,6 +387,7 @@ QUERIES = {
     "check_budgets": budgets,
     "first_budget_failure": budget_stop,
     "assert_records": assertions,
+    "assert_resilience": resilience,
     "record_roundtrip": record_roundtrip,
 }
 
@@ -472,6 +498,23 @@ UNION ALL SELECT 'missing', file, 'late' FROM r WHERE k % 60 <> 7 AND k % 50 = 0
     "check_budgets": _BUDGET + " SELECT file, duration_ms, bytes, failure IS NULL AS passed, failure FROM f",
     "first_budget_failure": _BUDGET + " SELECT file, failure FROM f WHERE failure IS NOT NULL ORDER BY file LIMIT 1",
     "assert_records": _BASE + " " + _assertions(),
+    "assert_resilience": """
+WITH r AS (SELECT o_orderkey AS k FROM orders), d AS (
+  SELECT k, CASE k % 3 WHEN 1 THEN 'mysql' ELSE 'postgres' END AS engine,
+    k % 5 <> 0 AS no_switch, (k + 1) % 5 <> 0 AS no_slow, (k + 2) % 5 <> 0 AS no_error FROM r WHERE k % 3 <> 0
+), a AS (
+  SELECT 'mysql_timeout_retry.json' AS file, unnest([
+    {'message': 'mysql timeout status failed', 'passed': k % 7 <> 0}, {'message': 'mysql timeout retried 3 attempts', 'passed': k % 4 <> 0},
+    {'message': 'mysql timeout all attempts failed', 'passed': true}, {'message': 'mysql timeout error surfaced', 'passed': k % 5 <> 0}]) AS c
+  FROM r WHERE k % 3 = 0
+  UNION ALL
+  SELECT engine || '_level1_downgrade.json', unnest([
+    {'message': engine || ' downgrade record status', 'passed': true}, {'message': engine || ' downgrade downgraded to level 0', 'passed': true},
+    {'message': engine || ' downgrade reason hot switch', 'passed': no_switch},
+    {'message': engine || ' downgrade reason ' || CASE engine WHEN 'mysql' THEN 'slow log' ELSE 'statement log' END, 'passed': no_slow},
+    {'message': engine || ' downgrade reason error log', 'passed': no_error}]) FROM d
+)
+SELECT file, c.message AS message, c.passed AS passed, count(*) AS records FROM a GROUP BY ALL""",
     "record_roundtrip": _OK_ROWS + """
 SELECT engine, count(*) AS records, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, count(*) FILTER (WHERE level1 AND NOT failed) AS level1_records,
   (SELECT count(*) FROM s JOIN r q USING (file) WHERE q.engine = r.engine) AS sources, count(*) FILTER (WHERE NOT failed) AS null_errors

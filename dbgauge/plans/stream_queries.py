@@ -7,49 +7,90 @@ from pyspark.sql import functions as F
 
 from dbgauge.plans.inputs import error_text, pg_texts, slow_records, table
 from dbgauge.session import scratch_path
-from dbgauge.streaming.jobs import (
+from dbgauge.streaming import (
     ingest_logs,
-    pg_entry_stream,
+    ingest_pg_logs,
     read_entry_stream,
     read_line_stream,
+    read_windows,
     stream_alerts,
     stream_digests,
+    untimed_entries,
     write_windows,
 )
 
-# Events per landed statement-log file.
-FILE_EVENTS = 5_000
+# What is landed last, so that the watermark passes all windows of the tables. Its own window stays open.
+_CLOSING_RECORD = "# Time: 2100-01-01T00:00:00Z\n# Query_time: 0\nSELECT 1;"
+_CLOSING_LINE = "2100-01-01T00:00:00Z 0 [Note] deadlock"
 
 
 def _land_records(events: DataFrame, path: str) -> None:
     slow_records(events).select(F.concat(F.lit("# Time:"), F.col("record")).alias("value")).write.mode("append").text(path)
 
 
+def _land_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").write.mode("append").text(path)
+
+
 def _start() -> list:
     return [F.unix_seconds(F.col("window.start")).alias("window_start"), F.unix_seconds(F.col("window.end")).alias("window_end")]
 
 
+def _windows(spark: SparkSession, base: str, landings: list, **options) -> DataFrame:
+    """Ingest and window each landing in a run of its own, and then one that closes all windows."""
+    for land in [*landings, lambda path: _land_text(spark, _CLOSING_RECORD, path)]:
+        land(f"{base}/in")
+        ingest_logs(spark, f"{base}/in", f"{base}/entries", f"{base}/ingested").awaitTermination()
+        frame = stream_digests(read_entry_stream(spark, f"{base}/entries"), watermark="30 minutes", **options)
+        write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return read_windows(spark, f"{base}/out")
+
+
 def digests_by_hour(spark: SparkSession, sf_dir: str, slide: str | None = None) -> DataFrame:
-    base = scratch_path(spark, "stream-digests")
-    _land_records(table(spark, sf_dir, "events"), f"{base}/in")
-    ingest_logs(spark, f"{base}/in", f"{base}/entries", f"{base}/ingested").awaitTermination()
-    frame = stream_digests(read_entry_stream(spark, f"{base}/entries"), "1 hour", "30 minutes", slide)
-    write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
-        *_start(), "fingerprint", "sample_sql", "count", "total_query_time_secs", "total_rows_sent", "total_rows_examined"
-    )
+    events = table(spark, sf_dir, "events")
+    found = _windows(spark, scratch_path(spark, "stream-digests"), [lambda path: _land_records(events, path)], window="1 hour", slide=slide)
+    return found.select(*_start(), "fingerprint", "sample_sql", "count", "total_query_time_secs", "total_rows_sent", "total_rows_examined")
 
 
 def digests_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests_by_hour(spark, sf_dir, "30 minutes").select("window_start", "fingerprint", "count", "total_query_time_secs")
 
 
+def digest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a fingerprint: its entries with less than a minute between them."""
+    events = table(spark, sf_dir, "events")
+    found = _windows(spark, scratch_path(spark, "stream-sessions"), [lambda path: _land_records(events, path)], window="1 minute", kind="session")
+    return found.select(F.unix_micros("window.start").alias("session_start"), "fingerprint", "count", "total_query_time_secs")
+
+
+def digests_with_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events land first; of the even ones, those in windows that the watermark has passed are dropped."""
+    events = table(spark, sf_dir, "events")
+    odd = F.col("event_id") % 2 == 1
+    landings = [lambda path, part=part: _land_records(part, path) for part in (events.filter(odd), events.filter(~odd))]
+    found = _windows(spark, scratch_path(spark, "stream-late"), landings, window="1 hour")
+    return found.select("fingerprint", F.unix_seconds("window.start").alias("window_start"), "count")
+
+
+def untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth record has no readable time: in no window, but counted."""
+    base = scratch_path(spark, "stream-untimed")
+    records = slow_records(table(spark, sf_dir, "events"))
+    headless = F.when(F.col("mid") % 9 == 0, F.regexp_replace("record", "^[^\n]*", " unknown")).otherwise(F.col("record"))
+    records.select(F.concat(F.lit("# Time:"), headless).alias("value")).write.text(f"{base}/in")
+    ingest_logs(spark, f"{base}/in", f"{base}/entries", f"{base}/ingested").awaitTermination()
+    write_windows(untimed_entries(read_entry_stream(spark, f"{base}/entries")), f"{base}/out", f"{base}/checkpoint", "complete").awaitTermination()
+    return read_windows(spark, f"{base}/out", mode="complete")
+
+
 def alerts_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-alerts")
-    table(spark, sf_dir, "events").select(error_text().alias("value")).write.text(f"{base}/in")
-    frame = stream_alerts(read_line_stream(spark, f"{base}/in"), "1 day", "1 hour")
-    write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(*_start(), "category", "count", "sample_line")
+    lines = table(spark, sf_dir, "events").select(error_text().alias("value"))
+    for land in (lambda path: lines.write.text(path), lambda path: _land_text(spark, _CLOSING_LINE, path)):
+        land(f"{base}/in")
+        frame = stream_alerts(read_line_stream(spark, f"{base}/in"), "1 day", "1 hour")
+        write_windows(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return read_windows(spark, f"{base}/out").select(*_start(), "category", "count", "sample_line")
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,21 +109,19 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-pg")
-    lines = table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / FILE_EVENTS).alias("chunk"), "event_id", F.posexplode(pg_texts()).alias("at", "value")
-    )
-    # One file per chunk, its lines in order; the number of chunks grows with the table.
-    ordered = lines.repartition("chunk").sortWithinPartitions("chunk", "event_id", "at")
-    ordered.select("chunk", "value").write.partitionBy("chunk").text(f"{base}/in")
-    entries = pg_entry_stream(spark, f"{base}/in/*")
-    sink = entries.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-    sink.trigger(availableNow=True).start().awaitTermination()
+    lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(pg_texts()).alias("at", "value"))
+    # One file for each range of events, its lines in order.
+    lines.repartitionByRange("event_id").sortWithinPartitions("event_id", "at").select("value").write.text(f"{base}/in")
+    ingest_pg_logs(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("sql", "query_time_secs")
 
 
 QUERIES = {
     "stream_digests": digests_by_hour,
     "stream_digests_sliding": digests_sliding,
+    "stream_digests_session": digest_sessions,
+    "stream_digests_late": digests_with_late_rows,
+    "stream_untimed": untimed,
     "stream_alerts": alerts_by_day,
     "ingest_logs": ingested,
     "stream_pg_entries": pg_entries,
@@ -102,6 +141,17 @@ FROM events GROUP BY ALL""",
     "stream_digests_sliding": f"""
 SELECT {_HALF} - shift AS window_start, {_SHAPE} AS fingerprint, count(*) AS count, {_TOTAL}
 FROM events, (VALUES (0), (1800)) v(shift) GROUP BY ALL""",
+    "stream_digests_session": f"""
+WITH g AS (
+  SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events
+), n AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 1 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS session FROM g
+)
+SELECT CAST(epoch_us(min(ts)) AS BIGINT) AS session_start, {_SHAPE} AS fingerprint, count(*) AS count, {_TOTAL} FROM n GROUP BY event_type, session""",
+    "stream_digests_late": f"""
+WITH w AS (SELECT CAST(epoch(max(ts)) AS BIGINT) - 1800 AS mark FROM events WHERE event_id % 2 = 1)
+SELECT {_SHAPE} AS fingerprint, {_HOUR} AS window_start, count(*) AS count FROM events, w WHERE event_id % 2 = 1 OR {_HOUR} + 3600 > mark GROUP BY ALL""",
+    "stream_untimed": "SELECT count(*) FILTER (WHERE event_id % 9 = 0) AS count FROM events",
     "stream_alerts": """
 WITH e AS (
   SELECT ts, event_id % 6 AS kind, replace(CAST(ts AS VARCHAR), ' ', 'T') || 'Z ' || event_id || ' [Note] ' || CASE event_id % 6

@@ -28,17 +28,17 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Lines end at LF only; a lone CR does not end a line. Bad UTF-8 becomes U+FFFD.
     """
-    return (
-        spark.read.option("lineSep", "\n")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("source"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("mid"),
-            _chomp(F.make_valid_utf8("value")).alias("line"),
-            (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
-            F.col("_metadata.file_size").alias("file_size"),
-        )
+    return line_rows(spark.read.option("lineSep", "\n").text(path)).withColumn("mid", F.monotonically_increasing_id())
+
+
+def line_rows(scan: DataFrame) -> DataFrame:
+    """``source, block, line, bytes, file_size`` of a line scan, batch or stream. ``mid`` comes from the batch frame, before any shuffle."""
+    return scan.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        _chomp(F.make_valid_utf8("value")).alias("line"),
+        (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
 
 

@@ -1,9 +1,10 @@
 from dbgauge.streaming.jobs import (
     digest_stream,
     ingest_logs,
-    pg_entry_stream,
+    ingest_pg_logs,
     read_entry_stream,
     read_line_stream,
+    read_windows,
     stream_alerts,
     stream_digests,
     untimed_entries,
@@ -13,9 +14,10 @@ from dbgauge.streaming.jobs import (
 __all__ = [
     "digest_stream",
     "ingest_logs",
-    "pg_entry_stream",
+    "ingest_pg_logs",
     "read_entry_stream",
     "read_line_stream",
+    "read_windows",
     "stream_alerts",
     "stream_digests",
     "untimed_entries",

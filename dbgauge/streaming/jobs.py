@@ -5,7 +5,7 @@ The file source sees new files, not the growth of an old one, so rotated chunks
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from dbgauge.functions.sqltext import fingerprint
 from dbgauge.functions.text import ascii_lower, strip_ws
 from dbgauge.operators.alerts import ALERT_RULES, line_categories
 from dbgauge.operators.digest import exact_total
-from dbgauge.operators.slowlog import log_line_time, parse_mysql_slow_log, pg_duration_secs, pg_statement_sql
-from dbgauge.sources.logs import RECORD_MARK, drop_leading_text, record_rows
+from dbgauge.operators.slowlog import log_line_time, parse_mysql_slow_log, parse_pg_statement_log
+from dbgauge.sources.logs import RECORD_MARK, drop_leading_text, line_rows, record_rows
 
 
 def read_entry_stream(spark: SparkSession, entries: str, max_files: int | None = None) -> DataFrame:
@@ -100,37 +100,6 @@ def stream_alerts(
     )
 
 
-def pg_entry_stream(spark: SparkSession, path: str) -> DataFrame:
-    """PostgreSQL entries of landed statement-log files, one row read per file.
-
-    Pairing needs the line before, and a stream has no line order, so a file comes as a whole: land
-    rotated chunks of some megabytes. Each file unfolds into (line, line before) in place.
-    """
-    files = spark.readStream.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("text")
-    )
-    stripped = F.transform(F.split("text", "\n"), strip_ws)
-    lines = files.select("source", F.filter(stripped, lambda line: line != "").alias("lines"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0))))
-    pairs = lines.select("source", "lines", before.alias("before")).select(
-        "source", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("before")))
-    )
-    line, previous = F.col("line"), F.col("before")
-    lent = F.when(pg_statement_sql(previous).isNull(), pg_duration_secs(previous))
-    entries = pairs.select(
-        "source",
-        log_line_time(line).alias("ts"),
-        pg_statement_sql(line).alias("sql"),
-        F.coalesce(pg_duration_secs(line), lent).alias("query_time_secs"),
-    )
-    return entries.filter(F.col("sql").isNotNull() & F.col("query_time_secs").isNotNull()).select(
-        "*",
-        F.lit(0.0).alias("lock_time_secs"),
-        F.lit(0).cast("bigint").alias("rows_sent"),
-        F.lit(0).cast("bigint").alias("rows_examined"),
-    )
-
-
 def _utc_day(name: str) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(name) / 86_400).cast("int"))
 
@@ -144,29 +113,56 @@ def ingest_logs(
     folder. A batch is an ordinary frame, so the text before a file's first record is told exactly as in
     batch reading. ``once`` reads what is there and ends; otherwise the query looks for new files every ``interval``.
     """
-    reader = spark.readStream.option("lineSep", f"\n{RECORD_MARK}")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    records = record_rows(_text_stream(spark, in_dir, f"\n{RECORD_MARK}", max_files))
+    return _ingest(records, lambda batch: parse_mysql_slow_log(drop_leading_text(batch)), out, checkpoint, once, interval)
+
 
+def ingest_pg_logs(
+    spark: SparkSession, in_dir: str, out: str, checkpoint: str, once: bool = True, interval: str = "60 seconds", max_files: int | None = None
+) -> StreamingQuery:
+    """The same for PostgreSQL statement logs, read line by line, so files split.
+
+    Pairing looks back one line. A file is whole within one batch, so pairing in the batch is exact.
+    """
+    return _ingest(line_rows(_text_stream(spark, in_dir, "\n", max_files)), parse_pg_statement_log, out, checkpoint, once, interval)
+
+
+def _text_stream(spark: SparkSession, in_dir: str, separator: str, max_files: int | None) -> DataFrame:
+    reader = spark.readStream.option("lineSep", separator)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(in_dir)
+
+
+def _ingest(rows: DataFrame, parse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool, interval: str) -> StreamingQuery:
     def save(batch: DataFrame, number: int) -> None:
-        records = drop_leading_text(batch.withColumn("mid", F.monotonically_increasing_id()))
-        entries = parse_mysql_slow_log(records).withColumn("day", _utc_day("ts"))
+        entries = parse(batch.withColumn("mid", F.monotonically_increasing_id())).withColumn("day", _utc_day("ts"))
         entries.write.mode("overwrite").partitionBy("day").parquet(f"{out.rstrip('/')}/batch={number}")
 
-    writer = record_rows(reader.text(in_dir)).writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": interval})).start()
 
 
-def write_windows(frame: DataFrame, out: str, checkpoint: str, mode: str = "complete", once: bool = True) -> StreamingQuery:
-    """Write windowed results batch by batch below ``out``.
+def write_windows(frame: DataFrame, out: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
+    """Write windowed results batch by batch below ``out``; ``read_windows`` reads them.
 
-    In complete mode every batch replaces the result; in append and update mode each batch has its
-    own folder, written over if the batch is repeated after a failure.
+    Each batch has a folder of its own, written over if the batch is repeated after a failure. In append mode, a window is
+    written once, when the watermark has passed it, and its state is dropped. Complete mode keeps all state and suits small results.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        target = out if mode == "complete" else f"{out}/batch={number}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     writer = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": "60 seconds"})).start()
+
+
+def read_windows(spark: SparkSession, out: str, keys: Sequence[str] = (), mode: str = "append") -> DataFrame:
+    """What ``write_windows`` has written: in append mode all batches, in complete mode the last, in update mode the last row of each of ``keys``."""
+    written = spark.read.parquet(out)
+    if mode == "complete":
+        last = written.agg(F.max("batch").alias("_last"))
+        written = written.join(last, F.col("batch") == F.col("_last")).drop("_last")
+    elif mode == "update":
+        values = [name for name in written.columns if name not in (*keys, "batch")]
+        last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+        return last.select(*keys, "_last.*")
+    return written.drop("batch")

@@ -9,9 +9,10 @@ from dbgauge.operators.slowlog import parse_mysql_slow_log, parse_pg_statement_l
 from dbgauge.sources.logs import read_log_lines, read_slow_log_records
 from dbgauge.streaming import (
     ingest_logs,
-    pg_entry_stream,
+    ingest_pg_logs,
     read_entry_stream,
     read_line_stream,
+    read_windows,
     stream_alerts,
     stream_digests,
     untimed_entries,
@@ -23,7 +24,7 @@ OLD = "/usr/sbin/mysqld started with:\nTcp port: 3306\n# Time: nowhen\n# Query_t
 
 def run(frame, tmp_path, mode="complete"):
     write_windows(frame, str(tmp_path / "out"), str(tmp_path / "cp"), mode).awaitTermination()
-    return frame.sparkSession.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    return read_windows(frame.sparkSession, str(tmp_path / "out"), mode=mode)
 
 
 def entry_stream(spark, folder, tmp_path, max_files=None):
@@ -88,8 +89,7 @@ def test_ingest_reads_each_file_once(spark, write, tmp_path):
 
 def test_pg_entries_equal_batch(spark, write, tmp_path):
     path = write(a__log=PG_STATEMENTS, b__log="\n\nLOG: duration: 5 ms\n\n STATEMENT: SELECT 1\nduration: 1 s\n")
-    stream = pg_entry_stream(spark, path).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
-    stream.trigger(availableNow=True).start().awaitTermination()
+    ingest_pg_logs(spark, path, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     columns = ["source", "ts", "sql", "query_time_secs", "lock_time_secs", "rows_sent", "rows_examined"]
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "o")).select(*columns).collect()))
     want = sorted(map(str, parse_pg_statement_log(read_log_lines(spark, path)).select(*columns).collect()))
