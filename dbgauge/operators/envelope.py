@@ -80,18 +80,15 @@ def fold_attempts(attempts: DataFrame) -> DataFrame:
     """``attempts(run_id, cycle, attempt, duration_ms, status, error)`` to one row per cycle.
 
     Attempts behind the first ok one do not count. ``error`` is the last error, also of a cycle that
-    ended well. The array is as long as the scheduler's retry limit allows.
+    ended well. The array is as long as the scheduler's retry limit allows. One read and one shuffle of the attempts.
     """
-    cycle = ["run_id", "cycle"]
-    first_ok = attempts.filter(F.col("status") == "ok").groupBy(*cycle).agg(F.min("attempt").alias("_first_ok"))
-    tried = attempts.join(first_ok, cycle, "left").filter(
-        F.col("_first_ok").isNull() | (F.col("attempt") <= F.col("_first_ok"))
-    )
     trace = F.struct(F.col("attempt").cast("int").alias("attempt"), F.col("duration_ms").cast("bigint").alias("duration_ms"), "status", "error")
-    return tried.groupBy(*cycle).agg(
-        F.array_sort(F.collect_list(trace)).alias("attempts"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("attempt"))).alias("error"),
+    traced = attempts.groupBy("run_id", "cycle").agg(
+        F.array_sort(F.collect_list(trace)).alias("_all"), F.min(F.when(F.col("status") == "ok", F.col("attempt"))).alias("_first_ok")
     )
+    counting = F.filter("_all", lambda a: F.col("_first_ok").isNull() | (a["attempt"] <= F.col("_first_ok")))
+    cut = traced.select("run_id", "cycle", counting.alias("attempts"))
+    return cut.withColumn("error", F.try_element_at(F.filter("attempts", lambda a: a["error"].isNotNull()), F.lit(-1))["error"])
 
 
 def assemble_records(attempts: DataFrame, cycles: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Lines end at LF only; a lone CR does not end a line. Bad UTF-8 becomes U+FFFD.
     """
-    return line_rows(spark.read.option("lineSep", "\n").text(path)).withColumn("mid", F.monotonically_increasing_id())
+    rows = line_rows(spark.read.option("lineSep", "\n").text(path)).withColumn("mid", F.monotonically_increasing_id())
+    return rows.select("source", "block", "mid", "line", "bytes", "file_size")
 
 
 def line_rows(scan: DataFrame) -> DataFrame:
