@@ -64,6 +64,16 @@ def test_append_mode_drops_late_rows(spark, write, tmp_path):
     assert {r.d: r.n for r in got.collect()} == {"2025-11-03": 3}
 
 
+def test_update_mode_reads_the_last_version(spark, write, tmp_path):
+    folder, out = write(a__log=MYSQL_SLOW), str(tmp_path / "out")
+    for copies in (1, 2):
+        frame = stream_digests(entry_stream(spark, folder, tmp_path), "1 hour", "1 day")
+        write_windows(frame, out, str(tmp_path / "cp"), "update").awaitTermination()
+        got = read_windows(spark, out, ["window", "fingerprint"], "update")
+        assert got.agg(F.sum("count")).first()[0] == 3 * copies
+        write(b__log=MYSQL_SLOW)
+
+
 def test_untimed_entries_are_counted_apart(spark, write, tmp_path):
     path = write(a__log=MYSQL_SLOW, old__log="# Time: \n# Query_time: 1\nSELECT 0;\n" + MYSQL_SLOW)
     got = run(untimed_entries(entry_stream(spark, path, tmp_path)), tmp_path)
