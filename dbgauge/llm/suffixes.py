@@ -29,6 +29,8 @@ class Shape:
     length: int = LENGTH
     gram: int = LENGTH * 8 // 25
     block: int = LENGTH // 25
+    #: Bytes of a document that are hashed at a time: no fewer than length + block.
+    segment: int = _SEGMENT
 
     @property
     def window(self) -> int:
@@ -38,16 +40,17 @@ class Shape:
 class Hasher:
     """Hashes of byte ranges of one text, each shorter than a segment."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.prefix = np.frombuffer(data, np.uint8), -1, None
+    def __init__(self, data: bytes, segment: int = _SEGMENT):
+        self.data, self.segment, self.at, self.prefix = np.frombuffer(data, np.uint8), segment, -1, None
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.zeros(len(starts), np.uint64)
-        for segment in np.unique(starts // _SEGMENT).tolist():
+        for segment in np.unique(starts // self.segment).tolist():
+            base = segment * self.segment
             if segment != self.at:
-                self.at, self.prefix = segment, prefix_hashes(self.data[segment * _SEGMENT : (segment + 2) * _SEGMENT])
-            own = starts // _SEGMENT == segment
-            out[own] = range_hashes(self.prefix, starts[own] - segment * _SEGMENT, ends[own] - segment * _SEGMENT)
+                self.at, self.prefix = segment, prefix_hashes(self.data[base : base + 2 * self.segment])
+            own = starts // self.segment == segment
+            out[own] = range_hashes(self.prefix, starts[own] - base, ends[own] - base)
         return out
 
 
@@ -62,16 +65,22 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:count], ahead[width - 1 : width - 1 + count])
 
 
+def _span(prefix: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, shape: Shape) -> np.ndarray:
+    """Hash of all bytes of the strings that chose a place, and of where the place stands in them."""
+    return mix(range_hashes(prefix, low, high + shape.length) + (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def sampled_suffixes(data: bytes, shape: Shape) -> tuple[np.ndarray, ...]:
     """The suffixes of a text that are indexed: (place, low, high, key, span).
 
     Each string of ``length`` bytes is assigned to the suffix, among those that begin in it and have ``gram`` bytes in it, whose hashed prefix is smallest (the
     last of equal ones). Equal strings so choose the same suffix of theirs. ``low`` to ``high`` are the starts of the strings that chose
     ``place``, ``key`` is the hash of the suffix's first ``gram`` bytes, and ``span`` of all bytes of these strings.
+    A place is one row, also where strings of several segments chose it: a second row would count as a second occurrence.
     """
     found = []
-    for at in range(0, max(0, len(data) - shape.length + 1), _SEGMENT):
-        part = data[at : at + _SEGMENT + shape.length - 1]
+    for at in range(0, max(0, len(data) - shape.length + 1), shape.segment):
+        part = data[at : at + shape.segment + shape.length - 1]
         prefix = prefix_hashes(np.frombuffer(part, np.uint8))
         places = np.arange(len(part) - shape.gram + 1)
         grams = range_hashes(prefix, places, places + shape.gram)
@@ -80,12 +89,20 @@ def sampled_suffixes(data: bytes, shape: Shape) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.diff(chosen, prepend=-1))
         last = np.append(first[1:], len(chosen)) - 1
         place = chosen[first]
-        span = range_hashes(prefix, first, last + shape.length)
-        span = mix(span + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        span = _span(prefix, place, first, last, shape)
         found.append((place + at, first + at, last + at, grams[place].view(np.int64), span.view(np.int64)))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(column) for column in zip(*found))
+    place, low, high, key, span = (np.concatenate(column) for column in zip(*found))
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    last = np.append(first[1:], len(place)) - 1
+    place, low, high, key, span = place[first], low[first], high[last], key[first], span[first]
+    for row in np.flatnonzero(first != last):
+        base = int(low[row])
+        prefix = prefix_hashes(np.frombuffer(data[base : int(high[row]) + shape.length], np.uint8))
+        at = slice(row, row + 1)
+        span[at] = _span(prefix, place[at] - base, low[at] - base, high[at] - base, shape).view(np.int64)
+    return place, low, high, key, span
 
 
 def _table(frame: DataFrame, make: Callable[[dict], list[np.ndarray] | None], fields: str) -> DataFrame:
@@ -169,7 +186,7 @@ def _block_rows(shape: Shape) -> Callable[[dict], list[np.ndarray] | None]:
         b = least[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         p = place[of]
         salt = mix(key[of].view(np.uint64) + b.astype(np.uint64))
-        hasher = Hasher(data)
+        hasher = Hasher(data, shape.segment)
         start, end = p - b * shape.block, p - (b + 1) * shape.block + 1 + shape.length
         core = mix(hasher.ranges(start, end) ^ salt)
         start, end = p - (b + 1) * shape.block + 1, p - b * shape.block + shape.length
@@ -187,7 +204,7 @@ def _string_rows(shape: Shape) -> Callable[[dict], list[np.ndarray] | None]:
     def make(row: dict) -> list[np.ndarray] | None:
         starts = np.concatenate([np.arange(b["low"], b["high"] + 1) for b in row["blocks"]])
         starts = np.unique(starts)
-        return [starts, Hasher((row["text"] or "").encode()).ranges(starts, starts + shape.length).view(np.int64)]
+        return [starts, Hasher((row["text"] or "").encode(), shape.segment).ranges(starts, starts + shape.length).view(np.int64)]
 
     return make
 

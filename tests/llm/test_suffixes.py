@@ -81,6 +81,26 @@ def test_edges(spark):
     assert remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_segments_do_not_matter(spark):
+    rng = random.Random(5)
+    letters = "abcdefgh"
+    data = "".join(rng.choices(letters, k=3000)).encode()
+    whole = [x.tolist() for x in sampled_suffixes(data, Shape(24, 8, 4))]
+    assert [x.tolist() for x in sampled_suffixes(data, Shape(24, 8, 4, 64))] == whole and len(set(whole[0])) == len(whole[0])
+    passage = "".join(rng.choices(letters, k=300))
+    rows = [(i, "".join(rng.choices(letters, k=rng.randrange(900, 1500)))) for i in range(20)] + [(30, passage), (31, "z" * 50 + passage), (31, "z" * 50 + passage)]
+    frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)
+    want = plain(rows, 24)
+    assert pick(remove_repeats(frame, Shape(24, 8, 4, 64)).collect()) == want and sum(w[2] == 0 for w in want) >= 20
+
+
+def test_long_unique_text_stays(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnop ", k=1_200_000)) for _ in range(4)]
+    frame = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert pick(remove_repeats(frame).collect()) == [(i, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)]
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
