@@ -110,13 +110,15 @@ def fit(documents: DataFrame, learn: Column | None = None, dimensions: int = DIM
     """Learn from the rows where ``learn`` holds and text and lang are not null.
 
     Document frequencies are counted over all of them. The centroids of a language come from about ``fit_rows`` of its
-    documents, chosen by a hash of the text, in one task for each language; so neither a task nor the driver holds more than that. The number of languages has to fit the
+    distinct texts (all, where it has no more), chosen by a hash of the text, in one task for each language; so neither a task nor the driver holds more than that. The number of languages has to fit the
     driver. Texts without a letter teach nothing. Without any labelled row every prediction is `und`.
     """
     rows = _labelled(documents, F.lit(True) if learn is None else learn)
     frequency, total = document_frequencies(rows, dimensions)
     idf = np.log((1 + total) / (1 + frequency)) + 0.1
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # copies are one text: the share follows the distinct texts of a language, not its rows
+    texts = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("h")).distinct()
+    sizes = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model(idf, [], np.zeros((0, dimensions), np.float32), np.zeros(0))
     shares = documents.sparkSession.createDataFrame([(lang, int(min(1.0, fit_rows / n) * (1 << 30))) for lang, n in sizes.items()], "lang string, below bigint")

@@ -33,6 +33,14 @@ def test_edges(spark):
     assert {r.lang_pred for r in with_language(frame, nothing).collect()} == {"und"}
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    english = [("the thing that they think ", "en")] * 2000 + [(f"the other thing they {w} there ", "en") for w in ("had", "saw", "took")]
+    rows = english + [("und der nicht das ist ein ", "de")] * 2000 + [("der andere hund ist nicht da ", "de")]
+    frame = spark.createDataFrame([(i, t, lang, "x", 1) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    model = fit(frame, fit_rows=20)
+    assert model.languages == ["de"] * 2 + ["en"] * 4
+
+
 def test_far_texts_are_rejected(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("learn", learn_fold())
     model = fit(documents, F.col("learn"))
