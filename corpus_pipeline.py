@@ -25,11 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id. Rows that repeat this id count as one."""
-    groups = simhash.near_duplicates(docs)
-    first = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct(), "survivors")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each near-duplicate group, the first by id and hash of the row. An id may be missing or of several texts."""
+    return simhash.first_of_groups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

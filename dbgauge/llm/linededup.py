@@ -52,27 +52,29 @@ def line_chunks(text: Column) -> Column:
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """Remove repeated multi-line chunks: all but the first, by (doc_id, line), of those with equal bytes.
+    """Remove repeated multi-line chunks: all but the first, by (doc_id, line, hash of the text), of those with equal bytes.
 
     Returns the columns of ``documents`` with the new text (n_chars follows it, if there) and n_lines, n_chunks, removed_chunks,
     removed_lines; input columns of these four names are replaced. Chunks of fewer than two lines that are not blank stay. A text of which
     all is removed is empty, and its row stays. Null texts stay null with counts of 0. A null id stands before all
-    others. Rows that repeat an id and text keep the same, as they have the same places. An empty table gives no row.
+    others. Rows that share an id, or have none, are documents of their own; those that repeat an id and text keep the same, as they have the same places. An empty table gives no row.
 
     1. Chunk texts are counted by an aggregate on their bytes, combined in each task: a chunk of most documents is one row a
        task. 2. Repeated chunks meet narrow (document, line, hash) rows in a join of two exchanges that Spark can split where it is
        skewed. 3. What a document repeats, which its own length bounds, goes back to it, and bytes are compared with bytes.
     """
     names = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    own = documents.drop(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
-    chunks = own.select("__id", F.explode(line_chunks(F.col("text"))).alias("c")).where("c.eligible")
-    place = F.col("__id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("c.start")
-    placed = chunks.select("__id", place.cast("decimal(38,0)").alias("place"), F.col("c.start").alias("start"), F.col("c.text").alias("chunk"))
+    own = documents.drop(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    chunks = own.select("__id", "__h", F.explode(line_chunks(F.col("text"))).alias("c")).where("c.eligible")
+    # id, line, and 31 bits of the text's hash, in one number that an aggregate can update in place
+    shift = F.lit(1 << 31).cast("decimal(11,0)")
+    place = (F.col("__id").cast("decimal(38,0)") * shift + F.col("c.start")).cast("decimal(38,0)") * shift + F.col("__h").bitwiseAND(F.lit((1 << 31) - 1))
+    placed = chunks.select("__id", "__h", place.cast("decimal(38,0)").alias("place"), F.col("c.start").alias("start"), F.col("c.text").alias("chunk"))
     counted = placed.groupBy("chunk").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = materialize(counted.select(F.xxhash64("chunk").alias("hash"), "chunk", "first"), "repeated-chunks")
-    places = placed.select("__id", "place", "start", F.xxhash64("chunk").alias("hash"))
+    places = placed.select("__id", "__h", "place", "start", F.xxhash64("chunk").alias("hash"))
     later = places.join(repeated, "hash").where("place > first")
-    known = later.groupBy("__id").agg(F.collect_set(F.struct("start", "chunk")).alias("__known"))
+    known = later.groupBy("__id", "__h").agg(F.collect_set(F.struct("start", "chunk")).alias("__known"))
 
     def repeats(c: Column) -> Column:
         return F.coalesce(F.exists("__known", lambda k: (k["start"] == c["start"]) & (k["chunk"] == c["text"])), F.lit(False)) & c["eligible"]
@@ -82,7 +84,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         lines = lambda part: F.aggregate(part, F.lit(0), lambda n, c: n + c["len"])
         return F.struct(F.array_join(F.transform(kept, lambda c: c["text"]), "\n").alias("text"), lines(chunks).alias("n_lines"), F.size(chunks).alias("n_chunks"), F.size(gone).alias("removed_chunks"), lines(gone).alias("removed_lines"))
 
-    result = own.join(known, "__id", "left").withColumn("__out", F.when(F.col("text").isNotNull(), _let(line_chunks(F.col("text")), sorted_out)))
+    result = own.join(known, ["__id", "__h"], "left").withColumn("__out", F.when(F.col("text").isNotNull(), _let(line_chunks(F.col("text")), sorted_out)))
     made = {name: F.coalesce(F.col(f"__out.{name}"), F.lit(0)) for name in names} | {"text": F.col("__out.text")}
     if "n_chars" in documents.columns:
         made["n_chars"] = F.length("__out.text").cast(documents.schema["n_chars"].dataType)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dbgauge.llm.common import map_texts, materialize, read_table
@@ -221,6 +221,28 @@ def near_links(classes: DataFrame, reach: int = 3, shard_rows: int = SHARD_ROWS)
     return dealt.groupBy("cell").applyInPandas(links, "a bigint, b bigint")
 
 
+def _rooted(printed: DataFrame, first: Column, reach: int) -> DataFrame:
+    """One row of (fp, first, root) for each distinct fingerprint: an aggregate of its rows, and the name of its group."""
+    classes = materialize(printed.groupBy("fp").agg(first.alias("first")), "classes")
+    roots = connected_components(near_links(classes, reach)).withColumnRenamed("node", "fp")
+    return materialize(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
+def first_of_groups(documents: DataFrame, reach: int = 3) -> DataFrame:
+    """The rows of ``documents`` that come first, by (doc_id, hash of the row), in their near-duplicate group: one of each group.
+
+    A null id comes behind all others. Rows that share an id, or have none, are rows of their own; of wholly equal rows one is kept.
+    """
+    # nulls are skipped by the hash, so it is told which columns are null
+    row = F.xxhash64(*[value for name in documents.columns for value in (F.col(name).isNull(), F.col(name))])
+    rows = documents.withColumn("__row", row)
+    printed = materialize(with_fingerprint(rows.select("doc_id", "__row", "text")).select("doc_id", "__row", "fp"), "fingerprints")
+    rooted = _rooted(printed, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")), reach)
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__first"))
+    kept = rows.join(materialize(first, "survivors"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).select(*documents.columns)
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 3) -> DataFrame:
     """Near-duplicate groups: (doc_id, fp, component_id), one row for each input row.
 
@@ -231,9 +253,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     printed = materialize(with_fingerprint(rows).select("doc_id", "fp"), "fingerprints")
-    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected_components(near_links(classes, reach)).withColumnRenamed("node", "fp")
-    rooted = materialize(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = _rooted(printed, F.min("doc_id"), reach)
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "named")
     members = materialize(rooted.join(named, "root").select("fp", "component_id"), "members")
     return printed.join(members, "fp").select("doc_id", "fp", "component_id")

@@ -69,6 +69,13 @@ def test_edges(spark):
     assert run(spark, []) == []
 
 
+def test_shared_ids_are_documents_of_their_own(spark):
+    same = "\n".join(f"passage line {i}" for i in range(30))
+    rows = [(i, f"{same}\nown {j}") for i in (None, 7) for j in range(3)]
+    got = run(spark, rows)
+    assert sum("passage line 15" in r[1] for r in got) == 1 and all(f"own {j}" in "".join(r[1] for r in got) for j in range(3))
+
+
 def test_no_python_in_the_plan(spark):
     plan = dedup_lines(spark.createDataFrame([(1, "a\nb", 3, "", 1, "")], SCHEMA))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

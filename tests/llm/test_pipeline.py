@@ -45,3 +45,12 @@ def test_stages_against_brute_force(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "text", "shard", "place", "use"} <= set(out.columns) and out.count() > 50
+
+
+def test_near_dedup_keeps_texts_that_share_an_id_or_have_none(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (4, text(4)), (4, text(5)), (6, text(5)), (2, text(6)), (2, text(6)), (None, text(6)), (8, text(7)), (8, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.text for r in kept) == [text(k) for k in range(1, 8)]
+    assert {r.text: r.doc_id for r in kept} == dict(zip(map(text, range(1, 8)), [None, None, None, 4, 4, 2, 8]))
