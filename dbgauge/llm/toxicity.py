@@ -178,11 +178,11 @@ def mine_lexicon(documents: DataFrame, labels: DataFrame) -> Lexicon:
     """Words and stems that toxic documents have and others lack, from all labelled documents.
 
     Document counts of words are an aggregate with a partial step; the lexicon is the top of it, so its
-    size is bounded. A stem needs at least three words.
+    size is bounded. Rare words count in totals and stems as well. A stem needs at least three words.
     """
     split = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     counted = _labelled(documents, labels, "merge").select("toxic", F.explode(split).alias("word")).where("length(word) between 2 and 64")
-    words = materialize(counted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where("pos >= 1 or neg >= 3"), "word-counts")
+    words = materialize(counted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "word-counts")
     totals = words.agg(F.sum("pos"), F.sum("neg")).first()
     pos, neg = max(1, totals[0] or 0), max(1, totals[1] or 0)
 

@@ -45,3 +45,14 @@ def test_query_held_out_accuracy(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     hit = sum(r.predicted and truth[r.doc_id] for r in held)
     assert hit / sum(truth[r.doc_id] for r in held) > 0.9 and hit / sum(r.predicted for r in held) > 0.9
+
+
+def test_rare_clean_words_count_in_stems(spark):
+    from dbgauge.llm.toxicity import mine_lexicon
+
+    letters = "abcdefghijklmnopqrst"
+    clean = [f"vile{a}{b} calm" for a in letters for b in letters]
+    rows = [(i, "vilexa vilexb vilexc grim" if i < 60 else clean[i - 60], int(i < 60)) for i in range(60 + len(clean))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = mine_lexicon(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert "grim" in lexicon.words and "vilex" in lexicon.stems and "vile" not in lexicon.stems
