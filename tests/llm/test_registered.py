@@ -10,7 +10,7 @@ NAMES = [*QUERIES, "pipeline"]
 
 
 def test_all_are_registered():
-    assert len(NAMES) == 11 and set(NAMES) <= set(queries())
+    assert len(NAMES) == 14 and set(NAMES) <= set(queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
