@@ -116,6 +116,12 @@ def instance_error_lines(events: DataFrame) -> DataFrame:
     return placed.withColumn("instance", F.col("source"))
 
 
+def land_document_files(spark: SparkSession, sf_dir: str, path: str, per_file: int = 100) -> None:
+    """Documents, in order, as the text of log files of ``per_file`` documents each: ``file=<n>/part-*``."""
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / per_file).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    spread(rows, "file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+
+
 def document_lines(documents: DataFrame) -> DataFrame:
     """Lines of each document, the document being the log file."""
     lines = spread(documents, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))

@@ -15,6 +15,7 @@ from dbgauge.plans.inputs import (
     document_lines,
     error_lines,
     instance_error_lines,
+    land_document_files,
     pg_lines,
     slow_records,
     spread,
@@ -23,6 +24,7 @@ from dbgauge.plans.inputs import (
 from dbgauge.session import scratch_path
 from dbgauge.sources.files import latest_files, list_files, resolve_log_paths
 from dbgauge.sources.logs import read_log_lines, read_slow_log_records
+from dbgauge.sources.ranges import log_files, read_appended, read_tail
 
 DOC_RULES = {"license": ["license", "copyright"], "contact": ["@", "phone"], "question": ["?"]}
 TAIL_LINES = 5
@@ -108,6 +110,25 @@ def appended_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended_since(document_lines(documents), known, SEGMENT_BYTES).select("source", "offset", "line")
 
 
+_FILE = F.regexp_extract("source", r"/file=(\d+)/", 1).cast("bigint")
+
+
+def tail_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last lines of landed files, of which only the ends are read."""
+    path = scratch_path(spark, "tails")
+    land_document_files(spark, sf_dir, path)
+    return read_tail(spark, path, TAIL_LINES, TAIL_BYTES).select(_FILE.alias("file"), F.col("back").cast("bigint").alias("back"), "line")
+
+
+def appended_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What landed files hold behind their checkpoints. Every seventh file has none, every fifth one behind its end."""
+    path = scratch_path(spark, "appended")
+    land_document_files(spark, sf_dir, path)
+    offset = F.when(_FILE % 5 == 0, F.col("file_size") + 100).otherwise(F.floor(F.col("file_size") / 2))
+    known = log_files(spark, path).select("source", F.when(_FILE % 7 != 0, offset).alias("offset"))
+    return read_appended(spark, path, known, SEGMENT_BYTES).select(_FILE.alias("file"), "offset", "line")
+
+
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a file listing: the host is the folder, and few distinct times give ties."""
     listing = table(spark, sf_dir, "pages").select(
@@ -212,6 +233,8 @@ QUERIES = {
     "tail_lines": tail_by_lines,
     "tail_bytes": tail_by_bytes,
     "appended_since": appended_lines,
+    "tail_of_files": tail_of_files,
+    "appended_to_files": appended_to_files,
     "latest_files": newest_files,
     "log_file_listing": log_file_listing,
     "log_line_scan": log_line_scan,
@@ -276,6 +299,16 @@ l AS (
 )"""
 
 
+# The lines of landed files, and the byte of the file that each begins at.
+_FILE_LINES = r"""
+WITH s AS (SELECT doc_id // 100 AS file, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT file, doc_id, i AS pos, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+o AS (
+  SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY file) AS total,
+    CAST(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY doc_id, pos) - strlen(line) - 1 AS BIGINT) AS start FROM l
+)"""
+
+
 def _doc_alert(name: str, phrases: list[str]) -> str:
     tests = " OR ".join(f"contains(low, '{phrase}')" for phrase in phrases)
     return f"SELECT source, pos, line, '{name}' AS category FROM t WHERE {tests}"
@@ -322,6 +355,17 @@ c AS (SELECT *, greatest(mark - start, 0) AS cut FROM marked WHERE start + strle
 j AS (SELECT *, coalesce(list_min(list_filter(range(0, length(line) + 1), lambda n: strlen(left(line, n)) >= cut)), length(line)) AS skip FROM c)
 SELECT CAST(doc_id AS VARCHAR) AS source, CAST(start + cut AS BIGINT) AS "offset",
   CASE WHEN strlen(left(line, skip)) > cut THEN chr(65533) ELSE '' END || substr(line, skip + 1) AS line FROM j""",
+    "tail_of_files": _FILE_LINES + f"""
+SELECT CAST(file AS BIGINT) AS file, back, line FROM (
+  SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY start DESC) AS back
+  FROM (SELECT file, start, {_STRIP.format('line')} AS line FROM o WHERE start >= total - {TAIL_BYTES}) WHERE line <> '') WHERE back <= {TAIL_LINES}""",
+    "appended_to_files": _FILE_LINES + f""",
+k AS (SELECT *, CASE WHEN file % 7 = 0 THEN 0 WHEN file % 5 = 0 THEN total + 100 ELSE total // 2 END AS known FROM o),
+m AS (SELECT *, CASE WHEN total < known OR total - known > {SEGMENT_BYTES} THEN greatest(total - {SEGMENT_BYTES}, 0) ELSE known END AS mark FROM k),
+c AS (SELECT *, greatest(mark - start, 0) AS cut FROM m WHERE start + strlen(line) + 1 > mark),
+j AS (SELECT *, coalesce(list_min(list_filter(range(0, length(line) + 1), lambda n: strlen(left(line, n)) >= cut)), length(line)) AS skip FROM c),
+r AS (SELECT file, start + cut AS place, CASE WHEN strlen(left(line, skip)) > cut THEN chr(65533) ELSE '' END || substr(line, skip + 1) AS line FROM j)
+SELECT CAST(file AS BIGINT) AS file, CAST(place AS BIGINT) AS "offset", CASE WHEN ends_with(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS line FROM r""",
     "latest_files": """
 SELECT dir, path FROM (
   SELECT *, row_number() OVER (PARTITION BY dir ORDER BY page_id % 3 DESC, path DESC) AS rn

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dbgauge.plans.inputs import error_text, pg_texts, slow_records, table
+from dbgauge.plans.inputs import error_text, pg_texts, slow_records, spread, table
 from dbgauge.session import scratch_path
+from dbgauge.sources.ranges import locate
 from dbgauge.streaming import (
     ingest_logs,
     ingest_pg_logs,
     read_entry_stream,
+    read_growing_lines,
     read_line_stream,
     read_windows,
     stream_alerts,
@@ -107,6 +114,52 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _land_growth(lines: DataFrame, path: str, cut: int = 0) -> None:
+    """Write files whole: lines (file, flag, at, value) in order, each in the file ``<file>.log``, without the last ``cut`` bytes.
+
+    Written again with more lines, a file has grown as if they had been appended. One file is one writer's, as on a server.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((name, value) for batch in batches for name, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()))
+        for name, group in groupby(rows, itemgetter(0)):
+            system, folder = locate(path)
+            system.create_dir(folder)
+            with system.open_output_stream(f"{folder}/{name}.log") as out:
+                held = b""
+                for _, value in group:
+                    held += f"{value}\n".encode()
+                    if len(held) > 1 << 20:
+                        out.write(held[:-cut] if cut else held)
+                        held = held[-cut:] if cut else b""
+                out.write(held[:-cut] if cut else held)
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    ordered = spread(lines, "file").sortWithinPartitions("file", "flag", "at")
+    ordered.select("file", "value").mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+
+
+def growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error logs that grow between three runs of a stream over one checkpoint; in the last, every third file was rotated.
+
+    The first landing ends within a line, which is to come whole with the second. Each line has to come once.
+    """
+    base = scratch_path(spark, "growing")
+    lines = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("server-"), F.floor(F.col("event_id") / 1000).cast("string")).alias("file"),
+        (F.col("event_id") % 3).alias("flag"),
+        F.col("event_id").alias("at"),
+        error_text().alias("value"),
+    )
+    rotated = (F.floor(F.col("at") / 1000) % 3 == 0) & (F.col("flag") < 2)
+    for landing, cut in ((lines.filter("flag < 1"), 5), (lines.filter("flag < 2"), 0), (lines.filter(~rotated), 0)):
+        _land_growth(landing, f"{base}/in", cut)
+        found = read_growing_lines(spark, f"{base}/in")
+        writer = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.regexp_extract("source", r"([^/]+)\.log$", 1).alias("file"), "mid", "line")
+
+
 def pg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-pg")
     lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(pg_texts()).alias("at", "value"))
@@ -124,6 +177,7 @@ QUERIES = {
     "stream_untimed": untimed,
     "stream_alerts": alerts_by_day,
     "ingest_logs": ingested,
+    "stream_growing_files": growing_lines,
     "stream_pg_entries": pg_entries,
 }
 
@@ -164,6 +218,16 @@ SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, C
 FROM e JOIN (VALUES (0, 'deadlock'), (1, 'crash_recovery'), (2, 'purge'), (3, 'purge'), (3, 'replication'), (4, 'crash_recovery')) k(kind, category) USING (kind)
 GROUP BY ALL""",
     "ingest_logs": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS entries, CAST(sum(user_id) AS BIGINT) AS rows_examined FROM events GROUP BY 1",
+    "stream_growing_files": """
+WITH e AS (
+  SELECT event_id, event_id // 1000 AS n, event_id % 3 AS flag, replace(CAST(ts AS VARCHAR), ' ', 'T') || 'Z ' || event_id || ' [Note] ' || CASE
+    WHEN event_type <> 'error' THEN 'connection closed' WHEN event_id % 6 = 0 THEN 'InnoDB: Deadlock found when trying to get lock'
+    WHEN event_id % 6 = 1 THEN 'InnoDB: Starting CRASH recovery from checkpoint' WHEN event_id % 6 = 2 THEN 'InnoDB: purge lag increased'
+    WHEN event_id % 6 = 3 THEN 'replica SQL thread waits for purge' WHEN event_id % 6 = 4 THEN 'redo done at 0/1F' ELSE 'query timeout' END AS line
+  FROM events
+)
+SELECT 'server-' || n AS file, line,
+  CAST(sum(strlen(line) + 1) OVER (PARTITION BY n, CASE WHEN n % 3 = 0 AND flag = 2 THEN 1 END ORDER BY flag, event_id) - strlen(line) - 1 AS BIGINT) AS mid FROM e""",
     "stream_pg_entries": """
 SELECT 'SELECT * FROM ' || event_type || ' WHERE id = ' || event_id || ';' AS sql,
   CASE event_id % 4 WHEN 0 THEN value WHEN 2 THEN value / 1000000 ELSE value / 1000 END AS query_time_secs

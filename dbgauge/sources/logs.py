@@ -18,7 +18,7 @@ RECORD_MARK = "# Time:"
 BLOCK_ROWS = 65_536
 
 
-def _chomp(line: Column) -> Column:
+def chomp(line: Column) -> Column:
     """Drop one trailing carriage return."""
     return F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
 
@@ -37,7 +37,7 @@ def line_rows(scan: DataFrame) -> DataFrame:
     return scan.select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
-        _chomp(F.make_valid_utf8("value")).alias("line"),
+        chomp(F.make_valid_utf8("value")).alias("line"),
         (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
         F.col("_metadata.file_size").alias("file_size"),
     )

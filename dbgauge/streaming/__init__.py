@@ -1,3 +1,4 @@
+from dbgauge.streaming.growing import read_growing_lines
 from dbgauge.streaming.jobs import (
     digest_stream,
     ingest_logs,
@@ -16,6 +17,7 @@ __all__ = [
     "ingest_logs",
     "ingest_pg_logs",
     "read_entry_stream",
+    "read_growing_lines",
     "read_line_stream",
     "read_windows",
     "stream_alerts",
