@@ -90,3 +90,28 @@ def alerts(
     return join_groups(counts, alert_samples(classified, by, samples), keys).select(*keys, "count", "sample_lines").orderBy(
         *by, *alert_order()
     )
+
+
+def alert_parts(
+    lines: DataFrame, by: Sequence[str] = (), rules: Mapping[str, Sequence[str]] = ALERT_RULES, samples: int = SAMPLES, position: Sequence[str] = POSITION
+) -> DataFrame:
+    """Counts and first lines to keep, per ``by`` and category; they merge. ``first`` holds at most ``samples`` lines with their positions."""
+    keys = [*by, "category"]
+    classified = classify(lines, rules)
+    counts = classified.groupBy(*keys).agg(F.count("*").alias("count"))
+    first = _first_lines(classified.select(*dict.fromkeys([*keys, *position, "line"])), keys, samples, position)
+    return join_groups(counts, first, keys).select(*keys, "count", "first")
+
+
+def _first_lines(lines: DataFrame, keys: Sequence[str], samples: int, position: Sequence[str]) -> DataFrame:
+    top = top_per_group(lines, keys, [F.col(name) for name in position], samples, spread_on=position)
+    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*position, "line"))).alias("first"))
+
+
+def merge_alert_parts(parts: DataFrame, by: Sequence[str] = (), samples: int = SAMPLES, position: Sequence[str] = POSITION) -> DataFrame:
+    """The alerts of all lines that the parts were made of, in groups ``by`` (some of the parts' own columns)."""
+    keys = [*by, "category"]
+    counts = parts.groupBy(*keys).agg(F.sum("count").alias("count"))
+    held = parts.select(*keys, F.explode("first").alias("one")).select(*keys, "one.*")
+    first = _first_lines(held, keys, samples, position)
+    return join_groups(counts, first, keys).select(*keys, "count", F.transform("first", lambda one: one["line"]).alias("sample_lines"))

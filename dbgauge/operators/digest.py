@@ -76,6 +76,45 @@ def digest(entries: DataFrame, by: Sequence[str] = (), position: Sequence[str] =
     return grouped.select(*digest_columns(by))
 
 
+_SUMS = {"query": "query_time_secs", "lock": "lock_time_secs"}
+
+
+def digest_parts(entries: DataFrame, by: Sequence[str] = (), position: Sequence[str] = POSITION) -> DataFrame:
+    """Totals to keep, for example by day: they merge, so the digests of a longer time need no log to be parsed again.
+
+    One row per ``by`` and fingerprint: the first statement with its position, the count, seconds as exact decimals (and apart, as doubles, those a
+    decimal cannot hold), and row totals. ``merge_digest_parts`` makes digests of any number of them.
+    """
+    keyed = entries.withColumn("fingerprint", fingerprint(F.col("sql")))
+    seconds = []
+    for short, name in _SUMS.items():
+        exact = F.col(name).try_cast(_EXACT)
+        seconds += [F.sum(exact).alias(f"{short}_exact"), F.sum(F.when(exact.isNull(), F.col(name))).alias(f"{short}_rest")]
+    return keyed.groupBy(F.xxhash64("fingerprint").alias("_hash"), *by, "fingerprint").agg(
+        F.min(F.struct(*position, "sql")).alias("first"),
+        F.count("*").alias("count"),
+        *seconds,
+        F.sum("rows_sent").alias("rows_sent"),
+        F.sum("rows_examined").alias("rows_examined"),
+    ).drop("_hash")
+
+
+def merge_digest_parts(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The digests of all entries that the parts were made of, in groups ``by`` (some of the parts' own columns)."""
+    seconds = []
+    for short, name in _SUMS.items():
+        exact = F.coalesce(F.sum(f"{short}_exact"), F.lit(0).cast(_EXACT)).cast("double")
+        seconds.append((exact + F.coalesce(F.sum(f"{short}_rest"), F.lit(0.0))).alias(f"total_{name}"))
+    merged = parts.groupBy(F.xxhash64("fingerprint").alias("_hash"), *by, "fingerprint").agg(
+        F.min("first")["sql"].alias("sample_sql"),
+        F.sum("count").alias("count"),
+        *seconds,
+        F.sum("rows_sent").alias("total_rows_sent"),
+        F.sum("rows_examined").alias("total_rows_examined"),
+    )
+    return merged.select(*digest_columns(by))
+
+
 def rank_digests(digests: DataFrame, by: Sequence[str] = (), top_n: int | None = None) -> DataFrame:
     """Order digests by total time (whole microseconds), count, fingerprint.
 

@@ -114,15 +114,13 @@ def _entry(secs: Column) -> list[Column]:
     ]
 
 
-def parse_pg_statement_log(lines: DataFrame) -> DataFrame:
-    """PostgreSQL log lines to entries.
+def _lent() -> Column:
+    """The duration that a line lends to the next one, as a struct, so that no line before differs from one that lends nothing."""
+    return F.struct(F.when(F.col("sql").isNull(), F.col("secs")).alias("secs"))
 
-    A line with duration and SQL is an entry. A line with a duration alone lends it to the next
-    non-blank line, which is an entry if it holds SQL but no duration. So one line looks back one line:
-    ``lag`` within each (source, block). The first line of a block looks back at the last line of the
-    block before; those edge lines (two per block) go through a second ``lag`` per source. The shuffle
-    carries duration and SQL, not the raw lines, and both branches read the same one.
-    """
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Durations and SQL of the lines that are not blank, with what the line before in the block lends and whether one follows."""
     text = strip_ws(F.col("line"))
     parsed = (
         lines.select(*POSITION, text.alias("line"))
@@ -134,12 +132,60 @@ def parse_pg_statement_log(lines: DataFrame) -> DataFrame:
             pg_statement_sql(F.col("line")).alias("sql"),
         )
     )
-    lent = F.struct(F.when(F.col("sql").isNull(), F.col("secs")).alias("secs"))
     in_block = Window.partitionBy("source", "block").orderBy("mid")
+    return parsed.select("*", F.lag(_lent()).over(in_block).alias("before"), F.lead(F.lit(True)).over(in_block).alias("after"))
+
+
+def log_series(source: Column) -> Column:
+    """The log that a file is a chunk of: its path without a trailing number (``.1``), or without the digits of a date or counter in its name."""
+    name = F.regexp_extract(source, r"([^/]*)\z", 1)
+    return F.concat(F.left(source, F.length(source) - F.length(name)), F.regexp_replace(F.regexp_replace(name, r"\.[0-9]+\z", ""), r"[-_.]?[0-9]+", ""))
+
+
+def chunk_order(source: Column) -> Column:
+    """Sorts the chunks of a series by age: files renamed to ``.2``, ``.1`` before the one being written; others by name."""
+    return F.struct(-F.coalesce(F.regexp_extract(source, r"\.([0-9]+)\z", 1).try_cast("int"), F.lit(0)), source)
+
+
+def pair_across_chunks(
+    lines: DataFrame, carried: DataFrame, series: Column | None = None, order: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Entries of chunks of logs, and what their last lines lend to the next chunk: (series, secs).
+
+    ``carried`` is what the chunks before have lent. As ``parse_pg_statement_log``, but the line before may be in another file of the ``series``, or of
+    an earlier call. Inside a block a line looks back one line; only edge lines, two per block, meet along a series, and one row per series is carried. A
+    series without lines keeps what it has.
+    """
+    series = log_series(F.col("source")) if series is None else series
+    order = chunk_order(F.col("source")) if order is None else order
+    placed = _placed(lines)
+    inner = placed.filter(F.col("before").isNotNull()).select("*", F.col("before.secs").alias("borrowed"))
+    along = Window.partitionBy("series").orderBy(order, "block", "mid")
+    edges = placed.filter(F.col("before").isNull() | F.col("after").isNull()).withColumn("series", series)
+    linked = edges.withColumn("ahead", F.lag(_lent()).over(along))
+    heads = linked.filter(F.col("before").isNull())
+    met = heads.join(carried.select("series", F.col("secs").alias("_carried")), "series", "left")
+    borrowed = F.when(F.col("ahead").isNull(), F.col("_carried")).otherwise(F.col("ahead.secs"))
+    first = met.select(*placed.columns, borrowed.alias("borrowed"))
+    secs = F.coalesce("secs", "borrowed")
+    entries = inner.unionByName(first).filter(F.col("sql").isNotNull() & secs.isNotNull()).select(*_entry(secs))
+    last = edges.groupBy("series").agg(F.max_by(_lent(), F.struct(order, "block", "mid"))["secs"].alias("secs"))
+    kept = carried.select("series", "secs").join(last.select("series"), "series", "left_anti")
+    return entries, last.filter(F.col("secs").isNotNull()).unionByName(kept)
+
+
+def parse_pg_statement_log(lines: DataFrame) -> DataFrame:
+    """PostgreSQL log lines to entries.
+
+    A line with duration and SQL is an entry. A line with a duration alone lends it to the next
+    non-blank line, which is an entry if it holds SQL but no duration. So one line looks back one line:
+    ``lag`` within each (source, block). The first line of a block looks back at the last line of the
+    block before; those edge lines (two per block) go through a second ``lag`` per source. The shuffle
+    carries duration and SQL, not the raw lines, and both branches read the same one.
+    """
+    lent = _lent()
+    placed = _placed(lines)
     in_source = Window.partitionBy("source").orderBy("block", "mid")
-    placed = parsed.select(
-        "*", F.lag(lent).over(in_block).alias("before"), F.lead(F.lit(True)).over(in_block).alias("after")
-    )
     inner = placed.filter(F.col("before").isNotNull()).select("*", F.col("before.secs").alias("borrowed"))
     edges = (
         placed.filter(F.col("before").isNull() | F.col("after").isNull())

@@ -10,19 +10,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dbgauge.operators.alerts import alert_parts, merge_alert_parts
+from dbgauge.operators.digest import digest_parts, merge_digest_parts
+from dbgauge.operators.slowlog import log_line_time
 from dbgauge.plans.inputs import error_text, pg_texts, slow_records, spread, table
 from dbgauge.session import scratch_path
 from dbgauge.sources.ranges import locate
 from dbgauge.streaming import (
     ingest_logs,
     ingest_pg_logs,
+    ingest_pg_series,
+    late_rows,
     read_entry_stream,
     read_growing_lines,
+    read_increments,
     read_line_stream,
     read_windows,
     stream_alerts,
     stream_digests,
     untimed_entries,
+    write_increments,
     write_windows,
 )
 
@@ -160,6 +167,70 @@ def growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select(F.regexp_extract("source", r"([^/]+)\.log$", 1).alias("file"), "mid", "line")
 
 
+def _placed_entries(spark: SparkSession, sf_dir: str, label: str) -> str:
+    """Digests of hours by increments: odd events land first, then even ones, then what closes all windows. Returns where they are."""
+    base = scratch_path(spark, label)
+    events = table(spark, sf_dir, "events")
+    odd = F.col("event_id") % 2 == 1
+    landings = [lambda path, part=part: _land_records(part, path) for part in (events.filter(odd), events.filter(~odd))]
+    for land in [*landings, lambda path: _land_text(spark, _CLOSING_RECORD, path)]:
+        land(f"{base}/in")
+        ingest_logs(spark, f"{base}/in", f"{base}/entries", f"{base}/ingested").awaitTermination()
+        entries = read_entry_stream(spark, f"{base}/entries")
+        parts = lambda rows, by: digest_parts(rows, by, ["ts"])
+        write_increments(entries, f"{base}/out", f"{base}/checkpoint", parts, "1 hour", "0 00:30:00").awaitTermination()
+    return f"{base}/out"
+
+
+def digests_by_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows and late rows as ``stream_digests_late``."""
+    found = read_increments(spark, _placed_entries(spark, sf_dir, "increments"), merge_digest_parts)
+    return found.select("fingerprint", F.unix_seconds("window_start").alias("window_start"), "count", "total_query_time_secs")
+
+
+def rows_too_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each hour, the number of rows that its window left out because they came behind the watermark."""
+    found = late_rows(spark, _placed_entries(spark, sf_dir, "late-rows"))
+    return found.select(F.unix_seconds("window_start").alias("window_start"), "late_rows")
+
+
+def alert_samples_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error logs that grow in three steps: counts by day, and the first three lines by position, as in one file."""
+    base = scratch_path(spark, "alert-samples")
+    lines = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("error-"), F.lpad(F.floor(F.col("event_id") / 1000).cast("string"), 12, "0")).alias("file"),
+        F.floor(F.pmod("event_id", F.lit(1000)) / 400).alias("flag"),
+        F.col("event_id").alias("at"),
+        error_text().alias("value"),
+    )
+    for step in (0, 1, 2):
+        _land_growth(lines.filter(F.col("flag") <= step), f"{base}/in")
+        if step == 2:
+            _land_text(spark, _CLOSING_LINE, f"{base}/in/last")
+        found = read_growing_lines(spark, f"{base}/in").withColumn("ts", log_line_time(F.col("line")))
+        # files of many days are read in each step, so nothing may be late before the last
+        write_increments(found, f"{base}/out", f"{base}/checkpoint", alert_parts, "1 day", "10000 00:00:00" if step < 2 else "0 01:00:00").awaitTermination()
+    return read_increments(spark, f"{base}/out", merge_alert_parts).select(
+        F.unix_seconds("window_start").alias("window_start"), "category", "count", F.array_join("sample_lines", "|").alias("sample_lines")
+    )
+
+
+def pg_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement log in chunks that part durations from their statements, some of them between two runs."""
+    base = scratch_path(spark, "pg-series")
+    place = F.col("event_id") * 4 + F.col("at") + 3
+    lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(pg_texts()).alias("at", "value"))
+    chunk = F.floor(place / 4000)
+    lines = lines.select(F.concat(F.lit("pg-"), F.lpad(chunk.cast("string"), 12, "0")).alias("file"), F.pmod(chunk, F.lit(1)).alias("flag"), place.alias("at"), chunk.alias("chunk"), "value")
+    last = lines.agg(F.max("chunk")).first()[0] or 0
+    for step in (1, 2, 3):
+        low, high = (last + 1) * (step - 1) // 3, (last + 1) * step // 3
+        _land_growth(lines.filter((F.col("chunk") >= low) & (F.col("chunk") < high)), f"{base}/in")
+        found = read_growing_lines(spark, f"{base}/in")
+        ingest_pg_series(spark, found, f"{base}/out", f"{base}/checkpoint", f"{base}/pending").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sql", "query_time_secs")
+
+
 def pg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-pg")
     lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(pg_texts()).alias("at", "value"))
@@ -178,6 +249,10 @@ QUERIES = {
     "stream_alerts": alerts_by_day,
     "ingest_logs": ingested,
     "stream_growing_files": growing_lines,
+    "stream_digest_increments": digests_by_increments,
+    "stream_late_rows": rows_too_late,
+    "stream_alert_samples": alert_samples_by_day,
+    "stream_pg_series": pg_series,
     "stream_pg_entries": pg_entries,
 }
 
@@ -187,7 +262,30 @@ _TOTAL = "CAST(sum(CAST(value AS DECIMAL(20,9))) AS DOUBLE) AS total_query_time_
 _HOUR = "CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT)"
 _HALF = "CAST(epoch(time_bucket(INTERVAL 30 MINUTE, ts)) AS BIGINT)"
 
+_PG_PAIRS = """
+SELECT 'SELECT * FROM ' || event_type || ' WHERE id = ' || event_id || ';' AS sql,
+  CASE event_id % 4 WHEN 0 THEN value WHEN 2 THEN value / 1000000 ELSE value / 1000 END AS query_time_secs
+FROM events WHERE event_id % 2 = 0 OR event_id % 7 <> 0"""
+_MARK = "WITH w AS (SELECT CAST(epoch(max(ts)) AS BIGINT) - 1800 AS mark FROM events WHERE event_id % 2 = 1)"
+
 ORACLES = {
+    "stream_digest_increments": f"""{_MARK}
+SELECT {_SHAPE} AS fingerprint, {_HOUR} AS window_start, count(*) AS count, {_TOTAL} FROM events, w WHERE event_id % 2 = 1 OR {_HOUR} + 3600 > mark GROUP BY ALL""",
+    "stream_late_rows": f"""{_MARK}
+SELECT {_HOUR} AS window_start, CAST(count(*) AS BIGINT) AS late_rows FROM events, w WHERE event_id % 2 = 0 AND {_HOUR} + 3600 <= mark GROUP BY ALL""",
+    "stream_pg_series": _PG_PAIRS,
+    "stream_alert_samples": """
+WITH e AS (
+  SELECT ts, event_id, event_id % 6 AS kind, replace(CAST(ts AS VARCHAR), ' ', 'T') || 'Z ' || event_id || ' [Note] ' || CASE event_id % 6
+    WHEN 0 THEN 'InnoDB: Deadlock found when trying to get lock' WHEN 1 THEN 'InnoDB: Starting CRASH recovery from checkpoint'
+    WHEN 2 THEN 'InnoDB: purge lag increased' WHEN 3 THEN 'replica SQL thread waits for purge' WHEN 4 THEN 'redo done at 0/1F' END AS line
+  FROM events WHERE event_type = 'error'
+), c AS (
+  SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, category, line, event_id,
+    row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 DAY, ts), category ORDER BY event_id) AS rn
+  FROM e JOIN (VALUES (0, 'deadlock'), (1, 'crash_recovery'), (2, 'purge'), (3, 'purge'), (3, 'replication'), (4, 'crash_recovery')) k(kind, category) USING (kind)
+)
+SELECT window_start, category, count(*) AS count, string_agg(line, '|' ORDER BY event_id) FILTER (WHERE rn <= 3) AS sample_lines FROM c GROUP BY ALL""",
     "stream_digests": f"""
 SELECT {_HOUR} AS window_start, {_HOUR} + 3600 AS window_end, {_SHAPE} AS fingerprint, arg_min({_SQL}, (ts, {_SQL})) AS sample_sql, count(*) AS count,
   {_TOTAL}, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_rows_sent, CAST(sum(user_id) AS BIGINT) AS total_rows_examined
@@ -228,8 +326,5 @@ WITH e AS (
 )
 SELECT 'server-' || n AS file, line,
   CAST(sum(strlen(line) + 1) OVER (PARTITION BY n, CASE WHEN n % 3 = 0 AND flag = 2 THEN 1 END ORDER BY flag, event_id) - strlen(line) - 1 AS BIGINT) AS mid FROM e""",
-    "stream_pg_entries": """
-SELECT 'SELECT * FROM ' || event_type || ' WHERE id = ' || event_id || ';' AS sql,
-  CASE event_id % 4 WHEN 0 THEN value WHEN 2 THEN value / 1000000 ELSE value / 1000 END AS query_time_secs
-FROM events WHERE event_id % 2 = 0 OR event_id % 7 <> 0""",
+    "stream_pg_entries": _PG_PAIRS,
 }

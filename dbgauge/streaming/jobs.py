@@ -1,10 +1,11 @@
 """Structured Streaming over landed log files.
 
-The file source sees new files, not the growth of an old one, so rotated chunks are landed as files.
+The file source sees new files, not the growth of an old one: rotated chunks are landed as files, or ``streaming.growing`` follows a file.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from dbgauge.functions.sqltext import fingerprint
 from dbgauge.functions.text import ascii_lower, strip_ws
 from dbgauge.operators.alerts import ALERT_RULES, line_categories
 from dbgauge.operators.digest import exact_total
-from dbgauge.operators.slowlog import log_line_time, parse_mysql_slow_log, parse_pg_statement_log
+from dbgauge.operators.slowlog import log_line_time, pair_across_chunks, parse_mysql_slow_log, parse_pg_statement_log
 from dbgauge.sources.logs import RECORD_MARK, drop_leading_text, line_rows, record_rows
 
 
@@ -127,6 +128,50 @@ def ingest_pg_logs(
     return _ingest(line_rows(_text_stream(spark, in_dir, "\n", max_files)), parse_pg_statement_log, out, checkpoint, once, interval)
 
 
+_PENDING = "series string, secs double, since bigint"
+
+
+def ingest_pg_series(
+    spark: SparkSession,
+    lines: DataFrame,
+    out: str,
+    checkpoint: str,
+    pending: str,
+    series: Column | None = None,
+    order: Column | None = None,
+    pending_secs: int = 3600,
+    once: bool = True,
+    interval: str = "60 seconds",
+) -> StreamingQuery:
+    """Entries of PostgreSQL statement logs whose chunks come in different batches: from ``read_growing_lines``, or as rotated files.
+
+    A duration at the end of a chunk is paired with the statement at the head of the next one of its series (``log_series``, in ``chunk_order``). What is lent is a
+    table below ``pending``, one row per series and batch, read by the next batch; it lapses after ``pending_secs``. A repeated batch reads what the batches
+    before it have left and writes over its own folders. The lines of a series are not brought into one task: only edge lines of blocks are.
+    """
+    out, pending = out.rstrip("/"), pending.rstrip("/")
+    spark.createDataFrame([], _PENDING).write.mode("overwrite").parquet(f"{pending}/batch=-1")
+
+    def save(batch: DataFrame, number: int) -> None:
+        now = int(time.time())
+        known = spark.read.schema(f"{_PENDING}, batch bigint").parquet(pending).filter(F.col("batch") < number)
+        newest = known.agg(F.max("batch")).first()[0]
+        carried = known.filter((F.col("batch") == F.lit(newest)) & (F.col("since") > now - pending_secs)).select("series", "secs", "since")
+        rows = batch if "mid" in batch.columns else batch.withColumn("mid", F.monotonically_increasing_id())
+        held = rows.persist()
+        try:
+            entries, lent = pair_across_chunks(held, carried, series, order)
+            entries.withColumn("day", _utc_day("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={number}")
+            since = carried.select("series", F.col("secs").alias("_secs"), "since")
+            aged = lent.join(since, "series", "left").select("series", "secs", F.when(F.col("secs") == F.col("_secs"), F.col("since")).otherwise(now).alias("since"))
+            aged.write.mode("overwrite").parquet(f"{pending}/batch={number}")
+        finally:
+            held.unpersist()
+
+    writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    return writer.trigger(**({"availableNow": True} if once else {"processingTime": interval})).start()
+
+
 def _text_stream(spark: SparkSession, in_dir: str, separator: str, max_files: int | None) -> DataFrame:
     reader = spark.readStream.option("lineSep", separator)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(in_dir)
