@@ -47,9 +47,47 @@ def line_categories(lower: Column, rules: Mapping[str, Sequence[str]] = ALERT_RU
     return F.array(*hits)
 
 
+#: From so many phrases on, lines are first tried against one pattern of all of them.
+MANY_PHRASES = 24
+
+
+def any_phrase(phrases: Sequence[str]) -> str:
+    """A pattern that finds any of the phrases: beginnings that phrases share are tried once, and a place with no phrase costs one look at its character."""
+    tree: dict = {}
+    for phrase in phrases:
+        node = tree
+        for letter in phrase:
+            if None in node:
+                break
+            node = node.setdefault(letter, {})
+        else:
+            node.clear()  # what is longer is found with it
+            node[None] = True
+
+    def pattern(node: dict) -> str:
+        if None in node:
+            return ""
+        ways = [_literal(letter) + pattern(below) for letter, below in sorted(node.items())]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    if None in tree:
+        return ""
+    return f"(?s)(?=[{''.join(map(_literal, sorted(tree)))}]){pattern(tree)}"
+
+
+def _literal(letter: str) -> str:
+    return f"\\x{{{ord(letter):x}}}"
+
+
 def classify(lines: DataFrame, rules: Mapping[str, Sequence[str]] = ALERT_RULES) -> DataFrame:
-    """One row per line and category; lines without a category are gone."""
+    """One row per line and category; lines without a category are gone.
+
+    Few lines fall into one. With many phrases, one pattern of all of them sorts out the others; each phrase is then looked for in what is left.
+    """
     lowered = lines.withColumn("_lower", ascii_lower(F.col("line")))
+    phrases = [phrase for of_category in rules.values() for phrase in of_category]
+    if len(phrases) >= MANY_PHRASES:
+        lowered = lowered.filter(F.col("_lower").rlike(any_phrase(phrases)))
     labelled = lowered.select(*lines.columns, F.explode(line_categories(F.col("_lower"), rules)).alias("category"))
     return labelled.filter(F.col("category").isNotNull())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dbgauge.functions.values import text_or_empty
 from dbgauge.operators.catalog import indexes_mysql, indexes_pg, table_sizes_mysql, table_sizes_pg
 from dbgauge.operators.hostmetrics import command_samples, parse_os_samples
 from dbgauge.operators.status import (
@@ -206,6 +207,12 @@ def latest_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("instance", F.explode("pairs").alias("name", "value"))
 
 
+def status_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by name out of each instance's map; a missing one is the empty text."""
+    maps = pairs_to_map(_event_pairs(spark, sf_dir))
+    return maps.select("instance", *[text_or_empty(F.col("pairs"), name).alias(name) for name in ("click", "error", "no_such_name")])
+
+
 def settings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(_event_pairs(spark, sf_dir), ["click", "view"])
 
@@ -282,6 +289,7 @@ QUERIES = {
     "pg_replication_status": pg_replication,
     "replication_status": replica_status,
     "pairs_to_map": latest_settings,
+    "status_texts": status_texts,
     "settings_lookup": settings_lookup,
     "row_to_pairs": wide_rows,
     "os_samples": os_samples,
@@ -353,6 +361,9 @@ SELECT c_custkey AS instance, c_custkey % 3 <> 2 AS access_ok,
   CASE WHEN c_custkey % 5 <> 0 THEN CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) END END AS payload
 FROM customer""",
     "pairs_to_map": "SELECT user_id AS instance, event_type AS name, arg_max(props, event_id) AS value FROM events GROUP BY 1, 2",
+    "status_texts": """
+SELECT user_id AS instance, coalesce(arg_max(props, event_id) FILTER (WHERE event_type = 'click'), '') AS click,
+  coalesce(arg_max(props, event_id) FILTER (WHERE event_type = 'error'), '') AS error, '' AS no_such_name FROM events GROUP BY 1""",
     "settings_lookup": """
 SELECT user_id AS instance, arg_max(props, event_id) FILTER (WHERE event_type = 'click') AS click,
   arg_max(props, event_id) FILTER (WHERE event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""",

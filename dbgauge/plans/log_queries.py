@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dbgauge.functions.sqltext import fingerprint
 from dbgauge.operators.alerts import alerts
-from dbgauge.operators.digest import digest, rank_digests
+from dbgauge.operators.digest import digest, digest_parts, merge_digest_parts, rank_digests
 from dbgauge.operators.segments import appended_since, tail_lines
 from dbgauge.operators.slowlog import parse_mysql_slow_log, parse_pg_statement_log
 from dbgauge.operators.snapshots import error_log_snapshot, slow_log_snapshot
@@ -27,6 +27,11 @@ from dbgauge.sources.logs import read_log_lines, read_slow_log_records
 from dbgauge.sources.ranges import log_files, read_appended, read_tail
 
 DOC_RULES = {"license": ["license", "copyright"], "contact": ["@", "phone"], "question": ["?"]}
+MANY_RULES = {
+    **{f"code_{group}": [f"err-{group}{number:02d}" for number in range(18)] for group in "abcdefghijk"},
+    "license": ["license", "licence"],
+    "question": ["?"],
+}
 TAIL_LINES = 5
 TAIL_BYTES = 300
 SEGMENT_BYTES = 2_000
@@ -91,6 +96,31 @@ def alerts_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "category", "count", F.array_join("sample_lines", "|").alias("sample_lines"))
 
 
+def alerts_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred phrases, most of which no line has: words behind a mark, and two that occur."""
+    found = alerts(document_lines(table(spark, sf_dir, "documents")), by=["source"], rules=MANY_RULES)
+    return found.select("source", "category", "count", F.array_join("sample_lines", "|").alias("sample_lines"))
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest parts kept by day."""
+    path = scratch_path(spark, "digest-days")
+    entries = _entries(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    digest_parts(entries, ["day"], position=["mid"]).write.partitionBy("day").parquet(path)
+    return spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+
+
+def digest_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all logs from what was kept of each day."""
+    return rank_digests(merge_digest_parts(_days(spark, sf_dir)))
+
+
+def digest_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of each month from what was kept of its days: no log is parsed again."""
+    kept = _days(spark, sf_dir).withColumn("month", F.left("day", F.lit(7)))
+    return merge_digest_parts(kept, ["month"]).drop("avg_query_time_secs")
+
+
 def tail_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail_lines(document_lines(table(spark, sf_dir, "documents")), TAIL_LINES).select("source", F.col("back").cast("bigint").alias("back"), "line")
 
@@ -230,6 +260,9 @@ QUERIES = {
     "alerts": alerts_all,
     "alerts_by": alerts_by,
     "alerts_rules": alerts_rules,
+    "alerts_many_rules": alerts_many_rules,
+    "digest_of_days": digest_of_days,
+    "digest_of_months": digest_of_months,
     "tail_lines": tail_by_lines,
     "tail_bytes": tail_by_bytes,
     "appended_since": appended_lines,
@@ -309,6 +342,17 @@ o AS (
 )"""
 
 
+def _doc_alerts(rules: dict[str, list[str]]) -> str:
+    """Counts and first lines by document of the categories that any line falls into."""
+    return (
+        _DOC_LINES
+        + f", t AS (SELECT CAST(doc_id AS VARCHAR) AS source, pos, line, {_LOWER.format('line')} AS low FROM l), c AS ("
+        + " UNION ALL ".join(_doc_alert(name, phrases) for name, phrases in rules.items())
+        + """) SELECT source, category, count(*) AS count, string_agg(line, '|' ORDER BY pos) FILTER (WHERE rn <= 3) AS sample_lines
+FROM (SELECT *, row_number() OVER (PARTITION BY source, category ORDER BY pos) AS rn FROM c) GROUP BY 1, 2"""
+    )
+
+
 def _doc_alert(name: str, phrases: list[str]) -> str:
     tests = " OR ".join(f"contains(low, '{phrase}')" for phrase in phrases)
     return f"SELECT source, pos, line, '{name}' AS category FROM t WHERE {tests}"
@@ -336,11 +380,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY event_id) AS r
     "alerts_by": _ERROR_ROWS + """
 SELECT 'db-' || (user_id % 10) AS instance, category, count(*) AS count, string_agg(line, '|' ORDER BY event_id) FILTER (WHERE rn <= 3) AS sample_lines
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 10, category ORDER BY event_id) AS rn FROM c) GROUP BY 1, 2""",
-    "alerts_rules": _DOC_LINES
-    + f", t AS (SELECT CAST(doc_id AS VARCHAR) AS source, pos, line, {_LOWER.format('line')} AS low FROM l), c AS ("
-    + " UNION ALL ".join(_doc_alert(name, phrases) for name, phrases in DOC_RULES.items())
-    + """) SELECT source, category, count(*) AS count, string_agg(line, '|' ORDER BY pos) FILTER (WHERE rn <= 3) AS sample_lines
-FROM (SELECT *, row_number() OVER (PARTITION BY source, category ORDER BY pos) AS rn FROM c) GROUP BY 1, 2""",
+    "alerts_rules": _doc_alerts(DOC_RULES),
+    "alerts_many_rules": _doc_alerts(MANY_RULES),
+    "digest_of_days": f"SELECT {_SHAPE} AS fingerprint, arg_min({_SQL}, event_id) AS sample_sql, {_DIGEST_SUMS} FROM events GROUP BY 1",
+    "digest_of_months": f"""
+SELECT month, fingerprint, sample_sql, count, total_query_time_secs, total_lock_time_secs, total_rows_sent, total_rows_examined FROM (
+  SELECT strftime(ts, '%Y-%m') AS month, {_SHAPE} AS fingerprint, arg_min({_SQL}, event_id) AS sample_sql, {_DIGEST_SUMS} FROM events GROUP BY 1, 2)""",
     "tail_lines": _DOC_LINES + f"""
 SELECT CAST(doc_id AS VARCHAR) AS source, back, line FROM (
   SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back

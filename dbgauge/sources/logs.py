@@ -9,6 +9,11 @@ lines work block by block for that reason.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,12 +86,26 @@ def drop_leading_text(rows: DataFrame) -> DataFrame:
     """Drop the first row of each file that does not begin with the record mark.
 
     Only the first row of a file can hold other text than a record, whatever it looks like; later rows have lost
-    their mark to the row separator. ``mid`` has to be taken in the scan. The first rows are one narrow row per file.
+    their mark to the row separator. A scan task hands out the rows of a split in order, so the first row of a file is the first one of its block 0: it is told in
+    passing, in the scan's own stage, and no record is shuffled or read twice. ``rows`` have to come from the scan as they are, with ``mid``.
     """
-    first = rows.filter(F.col("block") == 0).groupBy("source").agg(F.min("mid").alias("first_mid"))
-    leading = (F.col("block") == 0) & (F.col("mid") == F.col("first_mid")) & ~F.col("record").startswith(RECORD_MARK)
-    return (
-        rows.join(first, "source", "left")
-        .filter(~F.coalesce(leading, F.lit(False)))
-        .select("source", "block", "mid", "record")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            block, source = batch.column("block").to_numpy(), batch.column("source")
+            if not batch.num_rows:
+                continue
+            first = block == 0
+            if first.any():
+                other = np.append((source[0].as_py(), int(block[0])) != last, pc.not_equal(source[1:], source[:-1]).to_numpy(zero_copy_only=False))
+                other[1:] |= block[1:] != block[:-1]
+                first &= other
+                leading = first & ~pc.starts_with(batch.column("record"), RECORD_MARK).to_numpy(zero_copy_only=False)
+            else:
+                leading = first
+            last = (source[-1].as_py(), int(block[-1]))
+            yield batch.filter(pa.array(~leading)) if leading.any() else batch
+
+    kept = rows.select("source", "block", "mid", "record")
+    return kept.mapInArrow(run, "source string, block bigint, mid bigint, record string")
