@@ -109,14 +109,15 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-#: A given label counts as one more voter, right this often, so that the classes keep their meaning.
-LABEL_ACCURACY = 0.97
+def fit_label_model(given: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation from a majority vote; in each round, voter tables and then correlations given the class.
 
-
-def fit_label_model(given: np.ndarray, prior: float, label: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation from a majority vote; in each round, voter tables and then correlations given the class."""
+    It sees votes alone, no label. Where all rows are on one side of the vote, those above the mean begin as toxic.
+    """
     prior = min(0.9, max(0.01, prior))
-    toxic = np.where(given.sum(axis=1) > 0, 0.9, 0.05)
+    total = given.sum(axis=1)
+    above = total > 0
+    toxic = np.where(above if 0 < above.sum() < len(above) else total > total.mean(), 0.9, 0.05)
     model = None
     for _ in range(rounds):
         classes = np.stack([1 - toxic, toxic])
@@ -131,18 +132,10 @@ def fit_label_model(given: np.ndarray, prior: float, label: np.ndarray | None =
         correlation = covariance / np.outer(scale, scale)
         np.fill_diagonal(correlation, 0)
         model = LabelModel(prior, table.transpose(1, 0, 2), np.where(np.isfinite(correlation), correlation, 0))
-        toxic = with_label(model.posterior(given), label)
+        toxic = model.posterior(given)
     return model
 
 
-def with_label(posterior: np.ndarray, label: np.ndarray | None) -> np.ndarray:
-    """Posterior after one more, independent voter: 1 or 0 for each row."""
-    if label is None:
-        return posterior
-    for_toxic = np.where(label > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    return posterior * for_toxic / np.maximum(posterior * for_toxic + (1 - posterior) * (1 - for_toxic), 1e-12)
-
-
 def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps."""
     weights = np.zeros(x.shape[1])
@@ -153,6 +146,15 @@ def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds:
     return weights
 
 
+def calibrate(x: np.ndarray, weights: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Scale and shift of a classifier's log odds, by given labels; the last input is constant."""
+    odds = x @ weights
+    scale, shift = fit_classifier(np.stack([odds, np.ones(len(odds))], axis=1), label, ridge=0.1)
+    out = weights * scale
+    out[-1] += shift
+    return out
+
+
 @dataclass
 class ToxicityModel:
     lexicon: Lexicon
@@ -199,9 +201,9 @@ def mine_lexicon(documents: DataFrame, labels: DataFrame) -> Lexicon:
 def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from labelled documents for which ``learn`` (over doc_id) holds.
 
-    Labels choose the lexicon and the share of the toxic class, and are one voter among many. The label model estimates from the votes on about ``fit_rows`` documents (chosen
-    by a hash of the id) how right and how alike the voters are, and its posteriors are what the classifier learns. Without
-    labelled rows only the fixed list votes, with fixed weights.
+    Labels choose the lexicon and the share of the toxic class. The label model estimates from the votes alone, on about ``fit_rows`` documents (chosen
+    by a hash of the id), how right and how alike the voters are, and its posteriors are what the classifier learns; labels then scale and shift its log odds (two
+    numbers). Where the labelled rows are not of both classes, only the fixed list counts, with fixed weights.
     """
     learned = labels.where(F.lit(True) if learn is None else learn).where("doc_id is not null and toxic is not null")
     lexicon = mine_lexicon(documents, learned)
@@ -215,14 +217,14 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, fi
     rows = map_texts(_labelled(documents, chosen, "broadcast"), "text", make, "counts array<double>").select("doc_id", "toxic", "counts").collect()
     counts = np.array([r.counts for r in sorted(rows, key=lambda r: r.doc_id)]).reshape(len(rows), WORD_VOTERS + STEM_VOTERS + 4)
     given = votes(counts)
-    if not len(rows) or not (given > 0).any() or (given > 0).any(axis=1).all():
+    label = np.array([r.toxic for r in sorted(rows, key=lambda r: r.doc_id)])
+    if len(set(label.tolist())) < 2:
         size = inputs(np.zeros((1, WORD_VOTERS + STEM_VOTERS + 4))).shape[1]
         weights = np.zeros(size)
         weights[-5:] = [1.0, 1.0, 1.0, 1.5, -3.0]
         return ToxicityModel(lexicon, weights, None)
-    label = np.array([r.toxic for r in sorted(rows, key=lambda r: r.doc_id)])
-    model = fit_label_model(given, float(label.mean()), label)
-    return ToxicityModel(lexicon, fit_classifier(inputs(counts), with_label(model.posterior(given), label), ridge=0.1), model)
+    model, x = fit_label_model(given, float(label.mean())), inputs(counts)
+    return ToxicityModel(lexicon, calibrate(x, fit_classifier(x, model.posterior(given), ridge=0.1), label), model)
 
 
 def with_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:

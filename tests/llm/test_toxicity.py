@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from dbgauge.llm.toxicity import Lexicon, fit, fit_label_model, op4_toxicity, votes, with_toxicity
+from dbgauge.llm.toxicity import LabelModel, Lexicon, fit, fit_label_model, op4_toxicity, votes, with_toxicity
 
 SCHEMA = "doc_id bigint, text string, score string, predicted string, toxic int"
 
@@ -56,3 +56,27 @@ def test_rare_clean_words_count_in_stems(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     lexicon = mine_lexicon(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
     assert "grim" in lexicon.words and "vilex" in lexicon.stems and "vile" not in lexicon.stems
+
+
+def test_posterior_by_hand():
+    """Two voters, one of which repeats the other: Bayes' rule with damped weights."""
+    table = np.array([[[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]], [[0.6, 0.2, 0.2], [0.2, 0.3, 0.5]]])
+    for correlation in (0.0, 0.8):
+        model = LabelModel(0.3, table, np.array([[0, correlation], [correlation, 0]]))
+        given = np.array([[a, b] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        for (a, b), got in zip(given, model.posterior(given)):
+            odds = 0.3 / 0.7
+            for j, vote in enumerate((a, b)):
+                odds *= (table[j][1][vote + 1] / table[j][0][vote + 1]) ** (1 / (1 + correlation))
+            assert abs(got - odds / (1 + odds)) < 1e-12
+
+
+def test_labels_of_both_classes_are_learned_from_whatever_the_votes(spark):
+    """A listed word that all texts have is no reason to fall back to fixed weights; nor are texts without any."""
+    for common in ("idiot ", ""):
+        rows = [(i, common + ("grim vile words " if i % 4 == 0 else "calm kind words ") * 3, int(i % 4 == 0)) for i in range(300)]
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+        model = fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+        assert model.labels is not None
+        scored = with_toxicity(frame.select("doc_id", "text", "toxic"), model).collect()
+        assert all(r.predicted == r.toxic for r in scored)
