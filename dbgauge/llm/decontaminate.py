@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,7 +15,22 @@ THRESHOLD, WIDTH, BLOCK_CHARS = 0.8, 5, 8_000_000
 _TABLE_BITS = 18
 
 
-def shingle_texts(text: str | None, width: int = WIDTH) -> list[bytes]:
+#: Scripts without spaces between words: each of their characters is a word.
+_SINGLE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_NO_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+_ALONE = regex.compile(f"({_SINGLE})")
+
+
+def plain(text: str | None) -> str:
+    """A text in which only white space and ASCII punctuation stand between words; other punctuation and spaces become a space."""
+    text = text or ""
+    if text.isascii():
+        return text
+    return _ALONE.sub(r" \1 ", _NO_WORD.sub(" ", text))
+
+
+def shingle_texts(text: str, width: int = WIDTH) -> list[bytes]:
+    """Of a text that went through ``plain``; fewer words than ``width`` have none."""
     raw, starts, ends = words_of(text)
     words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
@@ -60,22 +76,30 @@ class Searcher:
     def __init__(self, items: list[tuple], threshold: float = THRESHOLD, width: int = WIDTH):
         self.threshold, self.width = threshold, width
         self.ids = [item_id for item_id, _ in items]
-        self.shingles = [frozenset(shingle_texts(text, width)) for _, text in items]
-        by_size: dict[int, list] = {}
+        self.shingles: list[frozenset] = []
+        by_size: dict[tuple[int, int], list] = {}
         for at, (_, text) in enumerate(items):
-            if self.shingles[at]:
-                hashes = np.unique(shingle_hashes(text, width))
-                by_size.setdefault(len(hashes).bit_length(), []).append((at, hashes))
-        self.partitions = [SizePartition(part, threshold) for _, part in sorted(by_size.items())]
+            text = plain(text)
+            words = len(words_of(text)[1])
+            # an item of fewer words is one shingle, as wide as it is long
+            own = min(width, words)
+            self.shingles.append(frozenset(shingle_texts(text, own)) if words else frozenset())
+            if words:
+                hashes = np.unique(shingle_hashes(text, own))
+                by_size.setdefault((own, len(hashes).bit_length()), []).append((at, hashes))
+        self.partitions: dict[int, list[SizePartition]] = {}
+        for (own, _), part in sorted(by_size.items(), key=lambda entry: entry[0]):
+            self.partitions.setdefault(own, []).append(SizePartition(part, threshold))
 
     def matches(self, text: str | None) -> list[dict]:
         """Items of which the text holds enough, with the exact counts."""
-        hashes = shingle_hashes(text, self.width)
-        found = [at for part in self.partitions for at in part.candidates(hashes).tolist()]
-        if not found:
-            return []
-        own = set(shingle_texts(text, self.width))
-        counted = [(at, len(self.shingles[at] & own), len(self.shingles[at])) for at in found]
+        text, counted = plain(text), []
+        for width, partitions in self.partitions.items():
+            hashes = shingle_hashes(text, width)
+            found = [at for part in partitions for at in part.candidates(hashes).tolist()]
+            if found:
+                own = set(shingle_texts(text, width))
+                counted += [(at, len(self.shingles[at] & own), len(self.shingles[at])) for at in found]
         return [{"item_id": self.ids[at], "shared": n, "size": size} for at, n, size in counted if n >= required(size, self.threshold)]
 
 
@@ -83,8 +107,9 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, threshold: float =
     """Append matches: array of (item_id, shared, size), the benchmark items of which a document holds
     at least ``threshold`` of the distinct word shingles.
 
-    Words are runs of letters and digits, lower-cased, so case, punctuation and line breaks do not matter. Items of fewer than ``width`` words have no shingle
-    and match nothing, nor do null or empty texts on either side; equal items each match. An item may be scattered over a document and
+    Words are runs of letters and digits, lower-cased, so case, punctuation (of any script) and line breaks do not matter; in scripts without spaces each character is a
+    word. An item of fewer than ``width`` words is one shingle of its own width: it has to stand in a document as it is. Null or empty texts and those without a
+    word match nothing on either side; equal items each match. An item may be scattered over a document and
     documents are searched whole. Benchmark items are sent to the tasks in blocks: their text is summed first, and each block of about
     ``block_chars`` characters is one more pass in the same projection over the documents, which are neither
     shuffled nor collected. An empty table on either side gives empty arrays. Other columns stay; one named matches is replaced.
@@ -129,19 +154,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Every shared shingle by a join on its text: no sketch, no size partition.
-OP5_SQL = """
-WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS ws FROM documents
-  UNION ALL
-  SELECT 'b', item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') FROM benchmark
-), s AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS g
-  FROM w WHERE len(ws) >= 5
-), sized AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 'b' GROUP BY id),
-shared AS (
-  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM s d JOIN s b ON d.g = b.g
-  WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY 1, 2
-)
+OP5_SQL = f"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL
+), w AS (
+  SELECT kind, id, regexp_extract_all(regexp_replace(lower(text), '({_SINGLE})', ' \\1 ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS ws FROM t
+), b AS (
+  SELECT DISTINCT id, least(len(ws), 5) AS width, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 5) - 1], ' '))) AS g
+  FROM w WHERE kind = 'b' AND len(ws) > 0
+), sized AS (SELECT id AS item_id, count(*) AS n FROM b GROUP BY id),
+d AS (
+  SELECT DISTINCT id, v.width, unnest(list_transform(range(1, len(ws) - v.width + 2), lambda i: array_to_string(ws[i:i + v.width - 1], ' '))) AS g
+  FROM w, (SELECT DISTINCT width FROM b) v WHERE kind = 'd' AND len(ws) >= v.width
+),
+shared AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM d JOIN b ON d.g = b.g AND d.width = b.width GROUP BY 1, 2)
 SELECT doc_id, item_id, c::INTEGER AS shared, n::INTEGER AS size, c / n AS containment
 FROM shared JOIN sized USING (item_id) WHERE c >= ceil(0.8 * n - 1e-9)
 """
