@@ -25,7 +25,9 @@ def word_count(text: str = "text") -> Column:
 
 
 def row_hash(seed: int) -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"), F.lit(seed))
+    """Hash of a row; it also tells which columns are null, as the hash passes over those."""
+    names = ["doc_id", "source", "text"]
+    return F.xxhash64(*names, *[F.isnull(name) for name in names], F.lit(seed))
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float) -> list[float]:

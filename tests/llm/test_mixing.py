@@ -90,3 +90,17 @@ def test_query(spark):
         taken = sum(r.taken for r in got if r.source == source)
         target = next(r.target for r in got if r.source == source)
         assert abs(taken - target) < 0.005 * target
+
+
+def test_rows_that_differ_by_which_column_is_null(spark):
+    """Such rows are two rows, with uses of their own, in both results."""
+    from collections import Counter
+
+    from dbgauge.llm.mixing import mix_documents, mixed_rows, row_hash
+
+    rows = [(1, None, "x"), (1, "x", None), (None, "x", "1"), *[(k, "s", f"w{k} " * (k % 7)) for k in range(2, 60)]]
+    frame = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert frame.select(row_hash(17)).distinct().count() == len(rows)
+    uses = {(r.doc_id, r.source): r.uses for r in mix_documents(frame).collect()}
+    rowed = Counter((r.doc_id, r.source) for r in mixed_rows(frame).collect())
+    assert rowed == Counter({key: n for key, n in uses.items() if n})
