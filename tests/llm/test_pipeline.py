@@ -54,3 +54,18 @@ def test_near_dedup_keeps_texts_that_share_an_id_or_have_none(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r.text for r in kept) == [text(k) for k in range(1, 8)]
     assert {r.text: r.doc_id for r in kept} == dict(zip(map(text, range(1, 8)), [None, None, None, 4, 4, 2, 8]))
+
+
+def test_stages_return_the_columns_they_got(spark):
+    """Columns named like results of the operators, a null id, null and empty texts, repeated rows and empty tables."""
+    plain = "die Sonne scheint heute\nund der Himmel ist blau\nwir gehen in den Wald\n"
+    rows = [(1, plain * 2, "de"), (1, plain * 2, "de"), (2, None, None), (3, "", "de"), (None, plain + "noch eine Zeile", "de"), (4, "the sun is bright\nand we walk home today", "en")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, score string, lang_rejected string, n_lines string, matches string, __id string"
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), "a", "b", "c", "d", "e") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        done = stage(spark, docs, "/root/testdata/sf0.001")
+        kept = done.collect()
+        assert done.columns == docs.columns and done.dtypes == docs.dtypes and kept, name
+        assert {(r.score, r.lang_rejected, r.n_lines, r.matches, r["__id"]) for r in kept} == {("a", "b", "c", "d", "e")}, name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    assert corpus_pipeline.mix(spark, docs, "").count() > 0 and corpus_pipeline.mix(spark, docs.limit(0), "").count() == 0
