@@ -37,11 +37,17 @@ def fold_remainder(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def map_texts(frame: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list[list]]], fields: str) -> DataFrame:
+def map_texts(
+    frame: DataFrame,
+    text: str,
+    make: Callable[[], Callable[[list[str | None]], list[list]]],
+    fields: str,
+    cells: Callable[[pa.Array], list] = pa.Array.to_pylist,
+) -> DataFrame:
     """Append columns computed from a text column, in Arrow batches and without a shuffle.
 
     ``make`` runs once in each task and returns a function from texts to one list per new field.
-    An input column with the name of a new field is replaced.
+    An input column with the name of a new field is replaced. ``cells`` turns a part of the column into Python values.
     """
     new = StructType.fromDDL(fields)
     kept = [name for name in frame.columns if name not in new.names or name == text]
@@ -55,7 +61,7 @@ def map_texts(frame: DataFrame, text: str, make: Callable[[], Callable[[list[str
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 part = whole.slice(at, SLICE)
-                made = compute(part.column(text).to_pylist())
+                made = compute(cells(part.column(text)))
                 columns = [part.column(name) for name in names]
                 columns += [pa.array(values, kind) for values, kind in zip(made, arrow_new)]
                 yield pa.RecordBatch.from_arrays(columns, names=names + new.names)

@@ -7,6 +7,7 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,20 +155,20 @@ class Encoder:
         self.cutter = SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.end = self.decoder.eos_id()
 
-    def encode(self, text: str | None) -> tuple[list[int], np.ndarray]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids with the end id last, and the byte edges of their spans: piece i is bytes edges[i] to edges[i + 1]."""
         aligned = self.normalise(text or "")
         whole = aligned.text.decode()
-        ids = self.cutter.encode(whole)
-        if self.unknown in ids:  # of a model without byte pieces: an unknown piece is as long as what it stands for
+        ids = self.cutter.encode(whole, return_type="numpy")
+        if (ids == self.unknown).any():  # of a model without byte pieces: an unknown piece is as long as what it stands for
             sizes = np.array([len(piece.encode()) for piece in self.cutter.encode(whole, out_type=str)], np.int64)
         else:
-            sizes = self.sizes[np.array(ids, np.int64)]
+            sizes = self.sizes[ids]
         places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         if places[-1] != len(aligned.text):
             raise ValueError("pieces do not cover the normalised text")
         edges = aligned.source[places]
-        return (ids + [self.end], np.append(edges, edges[-1])) if self.end >= 0 else (ids, edges)
+        return (np.append(ids, self.end), np.append(edges, edges[-1])) if self.end >= 0 else (ids, edges)
 
     def decode(self, ids: list[int]) -> str:
         return self.decoder.decode(ids)
@@ -181,7 +182,13 @@ def load_model(path: str) -> bytes:
     return model
 
 
-def _with_encoder(frame: DataFrame, column: str, model: str, one, fields: str) -> DataFrame:
+def _int_lists(column: pa.Array) -> list[list[int]]:
+    """The lists of a column, by one conversion of all their numbers."""
+    values, edges = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+    return [values[a:b].tolist() for a, b in zip(edges, edges[1:])]
+
+
+def _with_encoder(frame: DataFrame, column: str, model: str, one, fields: str, cells=pa.Array.to_pylist) -> DataFrame:
     """Append what ``one(encoder, cell)`` makes of each cell; the model is read once, here, and sent to the tasks."""
     shipped = frame.sparkSession.sparkContext.broadcast(load_model(model))
 
@@ -189,7 +196,7 @@ def _with_encoder(frame: DataFrame, column: str, model: str, one, fields: str) -
         encoder = Encoder(shipped.value)
         return lambda cells: [list(made) for made in zip(*[one(encoder, cell) for cell in cells])]
 
-    return map_texts(frame, column, make, fields)
+    return map_texts(frame, column, make, fields, cells)
 
 
 def encode_texts(documents: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -202,14 +209,14 @@ def encode_texts(documents: DataFrame, model: str, text: str = "text") -> DataFr
 
     def one(encoder: Encoder, cell: str | None) -> tuple:
         ids, edges = encoder.encode(cell)
-        return np.array(ids, np.int32), edges.astype(np.int32)
+        return ids.astype(np.int32), edges.astype(np.int32)
 
     return _with_encoder(documents, text, model, one, "ids array<int>, edges array<int>")
 
 
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """Append decoded (string): the library's text of the ids; empty for null or no ids."""
-    return _with_encoder(encoded, ids, model, lambda encoder, cell: (encoder.decode(cell or []),), "decoded string")
+    return _with_encoder(encoded, ids, model, lambda encoder, cell: (encoder.decode(cell),), "decoded string", _int_lists)
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

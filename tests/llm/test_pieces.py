@@ -57,6 +57,7 @@ def test_ids_and_alignment_equal_the_library(variant):
     encoder, library = Encoder(model), SentencePieceProcessor(model_proto=model)
     for text in [*texts(1500), "", " ", "   ", "a", " a ", "\n", "é" * 5000, "a b" * 5000]:
         ids, edges = encoder.encode(text)
+        ids = ids.tolist()
         assert ids == library.encode(text) + [library.eos_id()], text
         assert encoder.decode(ids) == library.decode(ids)
         assert len(edges) == len(ids) + 1 and (edges[1:] >= edges[:-1]).all() and edges[-1] <= len(text.encode())
@@ -79,7 +80,7 @@ def test_spans_are_the_bytes_of_the_pieces():
         ids, edges = encoder.encode(text)
         spans = [raw[a:b] for a, b in zip(edges, edges[1:])]
         assert b"".join(spans) == raw and spans[-1] == b""
-        for id_, span in zip(ids[1:], spans[1:]):
+        for id_, span in zip(ids[1:].tolist(), spans[1:]):
             piece = encoder.decoder.id_to_piece(id_)
             if encoder.decoder.is_byte(id_):
                 assert span == bytes([int(piece[3:5], 16)])
@@ -99,6 +100,8 @@ def test_edges(spark):
     assert got == sorted([(str(i), library.encode(t or "") + [2], library.decode(library.encode(t or "") + [2]), "kept") for i, t in ROWS], key=str)
     assert next(list(r.edges) for r in made if r.doc_id == 2) == [0, 0]
     assert encode_texts(documents.limit(0), PATH).count() == 0
+    lists = spark.createDataFrame([(1, [3, 400, 2]), (2, None), (3, []), (4, [2])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.decoded for r in decode_ids(lists, PATH).collect()} == {1: library.decode([3, 400, 2]), 2: "", 3: "", 4: ""}
     with pytest.raises(FileNotFoundError):
         encode_texts(documents, "/no/such/model")
 
