@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dbgauge.functions.sqltext import fingerprint
@@ -140,23 +140,25 @@ def appended_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended_since(document_lines(documents), known, SEGMENT_BYTES).select("source", "offset", "line")
 
 
-_FILE = F.regexp_extract("source", r"/file=(\d+)/", 1).cast("bigint")
+def _file() -> Column:
+    """Number of a landed file."""
+    return F.regexp_extract("source", r"/file=(\d+)/", 1).cast("bigint")
 
 
 def tail_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last lines of landed files, of which only the ends are read."""
     path = scratch_path(spark, "tails")
     land_document_files(spark, sf_dir, path)
-    return read_tail(spark, path, TAIL_LINES, TAIL_BYTES).select(_FILE.alias("file"), F.col("back").cast("bigint").alias("back"), "line")
+    return read_tail(spark, path, TAIL_LINES, TAIL_BYTES).select(_file().alias("file"), F.col("back").cast("bigint").alias("back"), "line")
 
 
 def appended_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What landed files hold behind their checkpoints. Every seventh file has none, every fifth one behind its end."""
     path = scratch_path(spark, "appended")
     land_document_files(spark, sf_dir, path)
-    offset = F.when(_FILE % 5 == 0, F.col("file_size") + 100).otherwise(F.floor(F.col("file_size") / 2))
-    known = log_files(spark, path).select("source", F.when(_FILE % 7 != 0, offset).alias("offset"))
-    return read_appended(spark, path, known, SEGMENT_BYTES).select(_FILE.alias("file"), "offset", "line")
+    offset = F.when(_file() % 5 == 0, F.col("file_size") + 100).otherwise(F.floor(F.col("file_size") / 2))
+    known = log_files(spark, path).select("source", F.when(_file() % 7 != 0, offset).alias("offset"))
+    return read_appended(spark, path, known, SEGMENT_BYTES).select(_file().alias("file"), "offset", "line")
 
 
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
