@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dbgauge.session import scratch_path
+
 
 def _flag(value: Column) -> Column:
     return F.coalesce(value, F.lit(False))
@@ -51,6 +53,38 @@ def diff_summaries(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return net.select(kind, *columns, F.explode(F.array_repeat(F.lit(0), F.abs("_n").cast("int"))).alias("_copy")).drop("_copy")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Append ``position``: the zero-based place of each row in the order of the given columns.
+
+    Tasks sort ranges of the order, and what they number is written once. A position is that in the range and the rows of all ranges
+    before, which are one number a task. Equal values of the order come in any order, so name columns that tell rows apart.
+    """
+    path = scratch_path(rows.sparkSession, "numbered")
+    rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    written = rows.sparkSession.read.parquet(path)
+    # the task and its row number are the upper and lower bits of the id
+    task = F.shiftright("_at", 33)
+    sizes = written.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = written.withColumn("_task", task).join(offsets, "_task")
+    return placed.withColumn("position", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_at", "_before")
+
+
+def diff_in_order(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """Positions at which two lists differ: the row expected there (``missing``) and the one found (``unexpected``).
+
+    Both sides have a ``position``; empty means that they are equal, row by row and in length. Unlike ``diff_summaries``,
+    equal rows in another order differ.
+    """
+    columns = [name for name in expected.columns if name != "position"]
+    sides = [frame.select("position", F.struct(*columns).alias(name)) for frame, name in ((actual, "_found"), (expected, "_wanted"))]
+    unlike = sides[0].join(sides[1], "position", "full").where(~F.col("_found").eqNullSafe(F.col("_wanted")))
+    both = F.array(F.struct(F.lit("missing").alias("difference"), F.col("_wanted").alias("row")), F.struct(F.lit("unexpected").alias("difference"), F.col("_found").alias("row")))
+    each = unlike.select("position", F.explode(both).alias("_each")).where("_each.row is not null")
+    return each.select("position", "_each.difference", "_each.row.*")
+
+
 @dataclass(frozen=True)
 class Budgets:
     """Limits of one record file."""

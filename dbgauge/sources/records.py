@@ -29,8 +29,9 @@ def read_records(spark: SparkSession, path: str | list[str], multiline: bool = T
         return with_variant(found.filter(F.trim("text") != ""))
     # a scan skips files of no bytes; the index of files, which it holds on the driver anyway, has them
     listed = spark.createDataFrame([(name,) for name in raw.inputFiles()], "_path string").select(_one_form(F.col("_path")).alias("_path"))
-    read = raw.select(_one_form(F.col("_metadata.file_path")).alias("_path"))
-    empty = listed.join(read, "_path", "left_anti").select(
+    # names and lengths alone: no content is read for them
+    filled = spark.read.format("binaryFile").load(path).where("length > 0").select(_one_form(F.col("_metadata.file_path")).alias("_path"))
+    empty = listed.join(filled, "_path", "left_anti").select(
         F.regexp_extract("_path", "([^/]*)$", 1).alias("file"), F.lit(0).cast("bigint").alias("file_size"), F.lit("").alias("text")
     )
     return with_variant(found.unionByName(empty))
@@ -68,6 +69,12 @@ def read_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(SUMMARY).option("multiLine", "true").json(path)
 
 
+def read_ordered_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The summaries of one JSON array with their ``position`` in it; such a file is small enough to be one value."""
+    parsed = F.from_json("value", f"array<struct<{SUMMARY}>>")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(parsed).alias("position", "_s")).select(F.col("position").cast("bigint"), "_s.*")
+
+
 def write_records(records: DataFrame, path: str, pretty: bool = False, mode: str = "error") -> None:
     """Write records as JSON, nulls included; ``pretty`` indents, one record per file as it spans lines."""
     options = {"ignoreNullFields": "false"}

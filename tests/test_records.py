@@ -13,13 +13,15 @@ from dbgauge.operators.checks import (
     RESILIENCE_RULES,
     assert_records,
     check_budgets,
+    diff_in_order,
     diff_summaries,
     first_failure,
+    numbered,
     summarize_records,
 )
 from dbgauge.operators.contract import validate_records
 from dbgauge.operators.envelope import fold_attempts
-from dbgauge.sources.records import read_records, read_summaries, typed_records, write_records
+from dbgauge.sources.records import read_ordered_summaries, read_records, read_summaries, typed_records, write_records
 
 
 def command(name):
@@ -153,6 +155,21 @@ def test_summary_and_diff(spark):
     assert [(r.difference, r.file) for r in diff_summaries(frame, twice).collect()] == [("missing", "a.json")]
 
 
+def test_order_of_summaries_counts(spark, tmp_path):
+    """Rows over many tasks are numbered without gaps; the same rows in another order differ, and so does a longer list."""
+    rows = numbered(spark.range(1000, numPartitions=7).selectExpr("(id * 387) % 1000 as v", "cast(null as string) as w"), "v")
+    assert {r.v: r.position for r in rows.collect()} == {v: v for v in range(1000)}
+    swapped = rows.selectExpr("case position when 10 then 700 when 700 then 10 else position end as position", "v", "w")
+    assert diff_in_order(rows, rows).count() == 0
+    got = sorted((r.position, r.difference, r.v) for r in diff_in_order(rows, swapped).collect())
+    assert got == [(10, "missing", 700), (10, "unexpected", 10), (700, "missing", 10), (700, "unexpected", 700)]
+    assert [tuple(r) for r in diff_in_order(rows, rows.where("position < 999")).collect()] == [(999, "unexpected", 999, None)]
+    assert diff_in_order(rows.limit(0), numbered(rows.limit(0).drop("position"), "v")).count() == 0
+    golden = tmp_path / "golden.json"
+    golden.write_text('[{"file": "b"}, {"file": "a", "status": "ok"}]')
+    assert [(r.position, r.file, r.status) for r in read_ordered_summaries(spark, str(golden)).orderBy("position").collect()] == [(0, "b", None), (1, "a", "ok")]
+
+
 def test_budgets(spark):
     slow = changed(["window", "duration_ms"], 6000, record())
     frame = landed(spark, a__json=record(), b_level1__json=slow, c__json=slow, d__json=changed(["status"], "failed", slow), e__json=changed(["window"], base=record()))
