@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dbgauge.llm import jaccard
 from dbgauge.llm.common import map_texts, materialize, read_table
 from dbgauge.llm.components import connected_components
 
@@ -243,6 +244,34 @@ def first_of_groups(documents: DataFrame, reach: int = 3) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "__row"]).select(*documents.columns)
 
 
+def first_of_alike(documents: DataFrame, reach: int = 3, least: float = jaccard.LEAST) -> DataFrame:
+    """``first_of_groups`` with wider groups: fingerprints also link if their first texts share at least ``least`` of their five-word shingles.
+
+    Two texts of that similarity differ in about 10 of 64 bits, where a tree can prune nothing. So trees find the links within ``reach``, banded
+    MinHash those of similar texts (99 % of them at 0.8, more above), each confirmed on the whole shingle sets, and
+    groups are the components of both. Order, nulls, repeated rows and other columns are as in ``first_of_groups``; texts without a word link by fingerprint alone.
+    """
+    row = F.xxhash64(*[value for name in documents.columns for value in (F.col(name).isNull(), F.col(name))])
+    rows = documents.withColumn("__row", row)
+
+    def make():
+        return lambda texts: [[_signed(fingerprint(t)) for t in texts], [jaccard.bands(t) for t in texts]]
+
+    printed = map_texts(rows.select("doc_id", "__row", "text"), "text", make, "fp bigint, bands array<bigint>").select("doc_id", "__row", "fp", "bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "bands"))
+    classes = materialize(materialize(printed, "fingerprints").groupBy("fp").agg(first.alias("first")), "classes")
+    pairs = materialize(jaccard.candidate_links(classes.select(F.col("fp").alias("node"), "first.bands")), "candidates")
+    # only texts of candidates are sent on
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))
+    texts = materialize(rows.select("doc_id", "__row", "text").join(wanted, is_first).groupBy(F.col("fp").alias("node")).agg(F.max("text").alias("text")), "candidate-texts")
+    links = near_links(classes, reach).unionByName(jaccard.confirmed_links(pairs, texts, least))
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    grouped = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    survivors = materialize(grouped.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__first")), "survivors")
+    return rows.join(survivors, is_first, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*documents.columns)
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 3) -> DataFrame:
     """Near-duplicate groups: (doc_id, fp, component_id), one row for each input row.
 

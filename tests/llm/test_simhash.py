@@ -1,8 +1,12 @@
+import random
+import re
+from itertools import combinations
+
 import numpy as np
 import xxhash
 
 from dbgauge.llm.components import connected_components
-from dbgauge.llm.simhash import _roots, fingerprint, near_duplicates, near_links, op3_simhash
+from dbgauge.llm.simhash import _roots, fingerprint, first_of_alike, near_duplicates, near_links, op3_simhash
 
 SCHEMA = "doc_id bigint, text string, fp string, component_id string"
 
@@ -32,6 +36,26 @@ def plain_groups(prints):
     return {i: find(i) for i in ids}
 
 
+def plain_shingles(text):
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_alike(texts):
+    """Brute force over all pairs: doc_id -> smallest doc_id reachable by 3 bits or, between first texts of a fingerprint, Jaccard of at least 0.8."""
+    prints = {i: plain_fingerprint(text) for i, text in texts.items()}
+    root = plain_groups(prints)
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i], i)
+    sets = {i: plain_shingles(texts[i]) for i in first.values()}
+    for a, b in combinations(sorted(sets), 2):
+        if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
 def test_fingerprint_by_definition():
     for text in [None, "", " \n", "One", "one two", "A b C d", "É b  c\td\x0be é", "x " * 50, "a b c d e f g " * 3000]:
         assert fingerprint(text) == plain_fingerprint(text)
@@ -80,3 +104,28 @@ def test_query_against_brute_force(spark):
     want = plain_groups(prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op3_simhash(spark, sf).collect()}
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in texts}
+
+
+def test_alike_texts_against_brute_force(spark):
+    """Texts with some words changed, cut or added; copies without an id; one text with a thousand near copies."""
+    rng, texts = random.Random(3), {}
+    for _ in range(40):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 200))]
+        for _ in range(rng.randrange(1, 5)):
+            made = list(words)
+            for _ in range(rng.randrange(4)):
+                made[rng.randrange(len(made))] = f"v{rng.randrange(400)}"
+            texts[len(texts)] = " ".join(made[: len(made) - rng.randrange(3)])
+    hot = [f"h{rng.randrange(900)}" for _ in range(120)]
+    for n in range(1000):
+        at = rng.randrange(100)
+        texts[len(texts)] = " ".join([*hot[:at], f"x{n}", *hot[at + 1 :]])
+    texts |= {2000: "", 2001: None, 2002: "one two", 2003: "one two", 2004: "one three"}
+    want = plain_alike(texts)
+    docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], "doc_id bigint, text string, bands string").repartition(7)
+    got = first_of_alike(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(want.values())) and {r.bands for r in got} == {"c"}
+    assert len(set(want.values())) < len(set(plain_groups({i: plain_fingerprint(t) for i, t in texts.items()}).values()))
+    assert first_of_alike(docs.limit(0)).count() == 0
+    alone = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, "g h i j k l"), (3, "a b c d e f")], "doc_id bigint, text string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in first_of_alike(alone).collect()) == [("3", "a b c d e f"), ("None", "None"), ("None", "g h i j k l")]
