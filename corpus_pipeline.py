@@ -45,9 +45,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the first by id and hash of the row. An id may be missing or of several texts.
 
+    Texts link by SimHash (3 of 64 bits) and by a Jaccard similarity of their five-word shingles of at least 0.8.
     Texts without a word are one group. Of repeated rows one stays; an empty table stays empty.
     """
-    return _keeping(docs, simhash.first_of_groups, "doc_id", "text")
+    return _keeping(docs, simhash.first_of_alike, "doc_id", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
