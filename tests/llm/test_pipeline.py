@@ -1,7 +1,7 @@
 from test_decontaminate import brute
 from test_linededup import plain as plain_lines
 from test_mixing import plain_targets
-from test_simhash import plain_fingerprint, plain_groups
+from test_simhash import plain_alike
 
 import corpus_pipeline
 from dbgauge.llm.common import materialize
@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
             assert sorted([(r.doc_id, r.text) for r in rows], key=str) == sorted([w[:2] for w in plain_lines([(i, r.text) for i, r in before.items()])], key=str)
             assert all(r.n_chars == len(r.text) for r in rows)
         elif name == "near_dedup":
-            groups = plain_groups({i: plain_fingerprint(r.text) for i, r in before.items()})
+            groups = plain_alike({i: r.text for i, r in before.items()})
             assert sorted(r.doc_id for r in rows) == sorted(set(groups.values()))
         elif name == "decontamination":
             assert {r.doc_id for r in rows} == set(before) - {w[0] for w in brute([(i, r.text) for i, r in before.items()], benchmark)}
