@@ -2,8 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from dbgauge.llm.common import prefix_hashes, range_hashes
 from dbgauge.llm.suffixes import Shape, op6_suffix_dedup, remove_repeats, sampled_suffixes
 
 SCHEMA = "doc_id bigint, text string, n_bytes string, h string, key int"
@@ -101,6 +103,38 @@ def test_long_unique_text_stays(spark):
     assert pick(remove_repeats(frame).collect()) == [(i, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)]
 
 
+def test_texts_with_equal_polynomial_hashes_stay(spark):
+    coefficients = [1]
+    for step in (1, 1, 1, 2, 2, 4, 4, 8, 8, 16, 16, 32, 32, 64):  # the product of x^step - 1 is 0 modulo 2^64 at the base
+        coefficients = [b - a for a, b in zip([*coefficients, *[0] * step], [*[0] * step, *coefficients])]
+    one, other = ("".join(chr(40 + max(sign * c, 0)) for c in coefficients) for sign in (1, -1))
+    hashes = [range_hashes(prefix_hashes(np.frombuffer(t.encode(), np.uint8)), np.array([0]), np.array([len(t)]))[0] for t in (one, other)]
+    assert one != other and hashes[0] == hashes[1]
+    rng = random.Random(4)
+    rows = []
+    for i in range(30):
+        before, after = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(2))
+        rows += [(2 * i, before + one + after), (2 * i + 1, before + other + after)]
+    got = pick(remove_repeats(spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)).collect())
+    assert got == plain(rows, 400) and not any(n_removed for _, _, n_removed, _, _ in got)
+
+
+def test_passages_from_the_length_on_are_caught_and_shorter_ones_stay(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopé", k=rng.randrange(2, 10))) for _ in range(3000)]
+    rows, sizes = [], {}
+    for i in range(60):
+        passage, shared = " ".join(rng.choices(words, k=51 + i)), "\x01\x02"
+        for half in (0, 1):  # different bytes on both sides, so that the shared run is the passage
+            rows.append((2 * i + half, " ".join(rng.choices(words, k=100)) + shared[half] + passage + shared[half] + " ".join(rng.choices(words, k=100))))
+            sizes[2 * i + half] = len(passage.encode())
+    rows += [(1000 + i, " ".join(rng.choices(words, k=300))) for i in range(40)]
+    got = pick(remove_repeats(spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)).collect())
+    assert got == plain(rows, 400)
+    assert {r[0]: r[2] for r in got} == {i: size if (size := sizes.get(i, 0)) >= 400 else 0 for i, _ in rows}
+    assert len({size >= 400 for size in sizes.values()}) == 2
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
