@@ -372,9 +372,9 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written as JSON lines and read back, typed and as VARIANT; nulls must survive."""
+    """Records written as compressed JSON lines and read back, typed and as VARIANT; nulls must survive."""
     path = scratch_path(spark, "records")
-    write_records(order_records(spark, sf_dir).drop("file", "file_size"), path)
+    write_records(order_records(spark, sf_dir).drop("file", "file_size"), path, compression="gzip")
     landed = read_records(spark, path, multiline=False)
     null_error = F.is_variant_null(F.try_variant_get("record", "$.error", "variant"))
     flagged = landed.withColumn("null_error", null_error)

@@ -11,13 +11,17 @@ from dbgauge.schemas import RECORD, SUMMARY
 
 FILE_COLUMNS = ["file", "file_size"]
 
+#: Records of a compressed file, which cannot be split: some 50 MB of text at a few KB each.
+COMPRESSED_RECORDS = 20_000
+
 
 def read_records(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """``file, file_size, text, record``: one row per file, or per line with ``multiline=False``.
 
     ``record`` is a VARIANT; text that is not one JSON value gives NULL, also that of an empty file; blank lines
     of a line file are no records. One file holds one record of at most a
-    few MB, so reading whole files keeps tasks small; use line files to land many records together.
+    few MB, so reading whole files keeps tasks small; use line files to land many records together. Compressed
+    files are told by their names; ``file_size`` is that of the file as it is stored.
     """
     raw = spark.read.text(path, wholetext=multiline)
     found = raw.select(
@@ -75,11 +79,16 @@ def read_ordered_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(parsed).alias("position", "_s")).select(F.col("position").cast("bigint"), "_s.*")
 
 
-def write_records(records: DataFrame, path: str, pretty: bool = False, mode: str = "error") -> None:
-    """Write records as JSON, nulls included; ``pretty`` indents, one record per file as it spans lines."""
+def write_records(records: DataFrame, path: str, pretty: bool = False, mode: str = "error", compression: str = "none") -> None:
+    """Write records as JSON, nulls included; ``pretty`` indents, one record per file as it spans lines.
+
+    Field names are most of a record, so ``compression`` by ``gzip`` keeps large tables of records to a small part of
+    their size; such files hold at most COMPRESSED_RECORDS, so that many tasks can read them.
+    """
     options = {"ignoreNullFields": "false"}
     if pretty:
         options["pretty"] = "true"
     body = F.to_json(F.struct(*records.columns), options)
-    writer = records.select(body.alias("value")).write.mode(mode)
-    (writer.option("maxRecordsPerFile", 1) if pretty else writer).text(path)
+    writer = records.select(body.alias("value")).write.mode(mode).option("compression", compression)
+    most = 1 if pretty else None if compression == "none" else COMPRESSED_RECORDS
+    (writer.option("maxRecordsPerFile", most) if most else writer).text(path)

@@ -21,6 +21,8 @@ from dbgauge.operators.checks import (
 )
 from dbgauge.operators.contract import validate_records
 from dbgauge.operators.envelope import fold_attempts
+from dbgauge.plans import record_queries
+from dbgauge.sources import records as record_files
 from dbgauge.sources.records import read_ordered_summaries, read_records, read_summaries, typed_records, write_records
 
 
@@ -240,3 +242,25 @@ def test_pretty_records_stand_in_files_of_their_own(spark, tmp_path):
     out = str(tmp_path / "pretty")
     write_records(spark.range(5).coalesce(1), out, pretty=True)
     assert sorted(r.id for r in read_records(spark, out).selectExpr("try_variant_get(record, '$.id', 'int') as id").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_roundtrip_keeps_records_compressed(spark, tmp_path, monkeypatch):
+    """Records on disk are a small part of their text, whatever their number; rows without a key or that repeat are kept."""
+    orders = [(key, 1.5) for key in [*range(400), 7, 7, None]]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    kept = tmp_path / "kept"
+    monkeypatch.setattr(record_queries, "scratch_path", lambda *_: str(kept))
+    found = record_queries.record_roundtrip(spark, str(tmp_path)).collect()
+    text = sum(len(r.value) for r in spark.read.text(str(kept)).collect())
+    assert sum(r.records for r in found) == len(orders) and text > 2000 * len(orders)
+    assert sum(file.stat().st_size for file in kept.iterdir()) * 4 < text
+
+
+def test_compressed_files_are_of_bounded_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(record_files, "COMPRESSED_RECORDS", 30)
+    out = tmp_path / "out"
+    write_records(spark.range(100).selectExpr("id", "cast(null as string) as error").coalesce(1), str(out), compression="gzip")
+    assert len(list(out.glob("part-*.gz"))) == 4
+    again = read_records(spark, str(out), multiline=False)
+    assert sorted(r.id for r in again.selectExpr("try_variant_get(record, '$.id', 'int') as id").collect()) == [*range(100)]
+    assert again.selectExpr("count_if(is_variant_null(try_variant_get(record, '$.error', 'variant'))) as n").first().n == 100
