@@ -149,3 +149,52 @@ def test_query_renders_prefixes_from_the_first_turn(spark, tmp_path, monkeypatch
     for name in ("format_pieces", "format_prefixes"):
         monkeypatch.setattr(chat, name, lambda frame, f=getattr(chat, name), **more: f(frame, drops, **more))
     assert {r.conv_id: r.rewritten_at for r in op7_chat(spark, str(tmp_path)).collect()} == {-1: None, 1: 11}
+
+
+def test_long_conversations_are_rendered_from_the_first_turn(parted):
+    """Beyond the bounds too: many tasks, each prefix from its first turn, and outputs that can only be read as a whole; keys may be missing, rows may repeat."""
+    spark = parted
+    rng = random.Random(11)
+    convs = {c: [(rng.choice(["user", "assistant"]), "".join(rng.choices(["\\", "</s>", "x\n", "é"], k=rng.randrange(9)))) for _ in range(n)] for c, n in ((None, 90), (1, 30), (2, 8), (3, 1), (4, 11))}
+    convs[1][5:7] = [("user", "same")] * 2
+    rows = [(c, t, *turn) for c, ts in convs.items() for t, turn in enumerate(ts)]
+    rows = [(c, 5 if (c, t) == (1, 6) else t, role, text) for c, t, role, text in rows]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+
+    def got(template, parse, **bounds):
+        pieces = format_prefixes(frame, template, parse, **bounds).persist()
+        return pieces, {r.conv_id: tuple(r)[1:] for r in digest_conversations(pieces, parse).collect()}
+
+    counts = lambda ts: "<s>" + "".join(f"{n}\n{chat_template([t])}" for n, t in enumerate(ts))
+
+    def whole(out):
+        assert out.startswith("<s>0\n")
+        return read_back(re.sub(r"(^|(?<=<\|im_end\|>\n))[0-9]+\n", "", out[3:]))
+
+    drops = lambda ts: chat_template(ts if len(ts) < 12 else ts[1:])
+    late = lambda ts: chat_template(ts if len(ts) < 80 else ts[1:])
+    plain = {c: (*expected(ts), len(chat_template(ts)), None) for c, ts in convs.items()}
+    for bounds in ({"work": 900}, {"chars": 0, "work": 300, "piece_chars": 50}):
+        pieces, found = got(counts, whole, **bounds)
+        assert found == {c: (*expected(ts), len(counts(ts)), None) for c, ts in convs.items()}
+        hot = pieces.where("conv_id is null").collect()
+        assert len({r.seq >> 40 for r in hot}) > 3 and sum(r.piece_turns for r in hot) == 90
+        assert got(drops, read_back, **bounds)[1] == {c: plain[c] if len(ts) < 12 else (None,) * 5 + (11,) for c, ts in convs.items()}
+        assert got(late, read_back, **bounds)[1] == {c: plain[c] if len(ts) < 80 else (None,) * 5 + (79,) for c, ts in convs.items()}
+
+
+def test_prefixes_rendered_are_all(spark, tmp_path):
+    """Each turn of a long conversation is rendered behind all turns before it, and with both probes."""
+    turns = [("user", f"text {t:02d}") for t in range(40)]
+    frame = spark.createDataFrame([(1, t, *turn) for t, turn in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def logged(ts):
+        (log / f"{len(ts)}-{ts[-1][1] if ts else ''}-{hashlib.sha256(repr(ts[:-1]).encode()).hexdigest()}").touch()
+        return chat_template(ts)
+
+    assert digest_conversations(format_prefixes(frame, logged, work=1000).persist()).first().n_turns == 40
+    want = {f"{n + 1}-{last}-{sha(repr(turns[:n]))}" for n in range(40) for last in ("X", "Y", turns[n][1])}
+    assert {p.name for p in log.iterdir()} >= want
